@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from . import q_dashboard, q_forecast, q_inventory  # noqa: F401
+from . import q_dashboard, q_forecast, q_inventory, q_privacy  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
