@@ -41,8 +41,22 @@ def any_case(pattern: str) -> str:
     return "(?iU)" + pattern
 
 
+# What a text must hold at the least for a pattern to be worth trying: an at sign, a digit, or nothing.
+DIGIT_PATTERNS = {"phone", "ssn", "credit_card", "ip_address", "bank_account", "passport"}
+
+
+def worth_trying(kind: str, text: Column) -> Column:
+    """A cheap test that no match can fail, so most texts skip most of the expensive patterns."""
+    if kind == "email":
+        return F.contains(text, F.lit("@"))
+    if kind in DIGIT_PATTERNS:
+        return text.rlike(r"(?U)\d")
+    return F.length(text) >= 32
+
+
 def pattern_counts(text: Column) -> dict[str, Column]:
-    return {name: F.coalesce(F.regexp_count(text, F.lit(any_case(p))), F.lit(0)) for name, p, _, _ in PATTERNS}
+    return {name: F.when(worth_trying(name, text), F.regexp_count(text, F.lit(any_case(p)))).otherwise(0)
+            for name, p, _, _ in PATTERNS}
 
 
 def level_name(rank: Column) -> Column:
@@ -101,8 +115,9 @@ def pseudonym(kind: str, value: Column) -> Column:
     return F.concat(F.lit("ANON_"), _padded(n % 10000, 4))
 
 
-def matches(pattern: str, text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(any_case(pattern)), 0))
+def matches(kind: str, pattern: str, text: Column) -> Column:
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(any_case(pattern)), 0))
+    return F.when(worth_trying(kind, text), found).otherwise(F.array().cast("array<string>"))
 
 
 def replaced(kind: str, found: Column, text: Column) -> Column:

@@ -9,18 +9,19 @@ from ..functions.numeric import half_even, money
 from .activity import drop_inactive
 
 
-def monthly_sales_base(sales: DataFrame) -> DataFrame:
-    """Revenue per (product, month) with the highest quantity of any row.
+def sales_base(sales: DataFrame, by_month: bool = False) -> DataFrame:
+    """Revenue per product (and month, as its first day) with the highest quantity of any row.
 
-    All dashboard figures and the activity rule can be read off this much smaller table, so the
-    activity joins do not touch single sales rows."""
-    return sales.groupBy("product_code", F.date_format("sale_date", "yyyy-MM").alias("month")).agg(
-        F.sum("revenue").alias("revenue"), F.max("quantity_sold").alias("quantity_sold"))
+    The dashboard figures and the activity rule can be read off this smaller table, so the activity
+    joins do not touch single sales rows."""
+    keys = ["product_code"] + ([F.trunc("sale_date", "month").alias("month")] if by_month else [])
+    return sales.groupBy(*keys).agg(F.sum("revenue").alias("revenue"), F.max("quantity_sold").alias("quantity_sold"))
 
 
-def dashboard_inputs(sales: DataFrame, inventory: DataFrame, known_filled: bool = False) -> tuple[DataFrame, DataFrame]:
+def dashboard_inputs(sales: DataFrame, inventory: DataFrame, known_filled: bool = False,
+                     by_month: bool = False) -> tuple[DataFrame, DataFrame]:
     """What the dashboard shows: compact sales and stock of active products, orphan sales left out."""
-    return drop_inactive(monthly_sales_base(sales), inventory, known_filled)
+    return drop_inactive(sales_base(sales, by_month), inventory, known_filled)
 
 
 def dashboard_kpis(sales: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -36,8 +37,10 @@ def dashboard_kpis(sales: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def monthly_revenue(sales: DataFrame) -> DataFrame:
-    month = F.col("month") if "month" in sales.columns else F.date_format("sale_date", "yyyy-MM").alias("month")
-    return sales.groupBy(month).agg(money(F.sum("revenue")).alias("revenue"))
+    """Revenue per calendar month; the label is made from the few grouped rows, not from every sale."""
+    month = F.col("month") if "month" in sales.columns else F.trunc("sale_date", "month").alias("month")
+    return sales.groupBy(month).agg(money(F.sum("revenue")).alias("revenue")).withColumn(
+        "month", F.date_format("month", "yyyy-MM"))
 
 
 def supplier_rows(sales: DataFrame, inventory: DataFrame) -> DataFrame:

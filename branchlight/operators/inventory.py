@@ -108,19 +108,16 @@ A_SHARE, B_SHARE = 0.80, 0.95
 def pareto_abc(quantities: DataFrame, quantity: str = "quantity_sold", key: str = "product_code") -> DataFrame:
     """Grade products by cumulative share of quantity, largest first; products without sales are C.
 
-    The running total has no partition key, so it is built range by range (see ``scan.running``).
-    Equal quantities are taken in key order."""
-    sold = quantities.filter(F.col(quantity) > 0)
-    ranked = running(sold, [F.col(quantity).desc(), F.col(key)],
-                     sums={"_upto": F.col(quantity).cast("decimal(38,4)")})
-    total = ranked.agg(F.sum(F.col(quantity).cast("decimal(28,4)")).cast("double")).scalar()
-    share = F.col("_upto").cast("double") / F.col("_total")
-    graded = ranked.withColumn("_total", total).select(
-        key, share.alias("cumulative_share"),
+    The running total has no partition key, so it is built range by range (see ``scan.running``); ``quantities``
+    is evaluated once for that and its other columns are kept. Equal quantities are taken in key order."""
+    sold = F.col(quantity) > 0
+    amount = F.when(sold, F.col(quantity)).otherwise(0).cast("decimal(28,4)")
+    ranked = running(quantities, [F.col(quantity).desc_nulls_last(), F.col(key)], sums={"_upto": amount})
+    total = ranked.agg(F.sum(amount).cast("double")).scalar()
+    share = F.when(sold, ratio(F.col("_upto"), F.col("_total")))
+    return ranked.withColumn("_total", total).select(
+        *quantities.columns, share.alias("cumulative_share"),
         F.when(share <= A_SHARE, "A").when(share <= B_SHARE, "B").otherwise("C").alias("abc_classification"))
-    rest = quantities.filter(~F.coalesce(F.col(quantity) > 0, F.lit(False))).select(
-        key, F.lit(None).cast("double").alias("cumulative_share"), F.lit("C").alias("abc_classification"))
-    return graded.unionAll(rest)
 
 
 def selling_day_rates(sales: DataFrame, keys: tuple[str, ...] = ("product_code",)) -> DataFrame:
@@ -138,12 +135,10 @@ def pareto_analysis(sales: DataFrame, inventory: DataFrame, params: AnalysisPara
     trimmed = F.trim(F.col("product_code")).alias("product_code")
     sales = sales.select(trimmed, "sale_date", "quantity_sold")
     inventory = inventory.withColumn("product_code", F.trim("product_code"))
-    rates = selling_day_rates(sales)
     in_stock = inventory.select("product_code").distinct()
-    grades = pareto_abc(rates.join(in_stock, "product_code", "left_semi"))
+    grades = pareto_abc(selling_day_rates(sales).join(in_stock, "product_code", "left_semi"))
     rows = (inventory.select("product_code", "branch_code", "product_name", "Last_on_hand")
-            .join(rates, "product_code", "left")
-            .join(grades.select("product_code", "abc_classification"), "product_code", "left"))
+            .join(grades.drop("cumulative_share"), "product_code", "left"))
     sold, days = F.coalesce("quantity_sold", F.lit(0.0)), F.coalesce("sale_days", F.lit(0))
     rows = rows.withColumns({"quantity_sold": sold, "sale_days": days,
                              "abc_classification": F.coalesce("abc_classification", F.lit("C")),

@@ -27,9 +27,9 @@ def hours_before(as_of: str, hours: int) -> Column:
 def parse_jsonl(lines: DataFrame, as_of: str | None = None, hours: int | None = None, column: str = "value",
                 schema: T.StructType = UPLOAD_LOG_SCHEMA) -> DataFrame:
     """JSON lines as typed rows; lines that are not JSON or carry no readable time are dropped."""
-    rows = lines.select(F.from_json(column, schema, {"mode": "PERMISSIVE",
-                                                     "columnNameOfCorruptRecord": "_corrupt_record"}).alias("_j"))
-    rows = rows.select("_j.*").filter("_corrupt_record IS NULL").drop("_corrupt_record")
+    parsed = F.from_json(column, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    # Unfolded as a one-element array: later filters then act on the parsed row instead of parsing the line again.
+    rows = lines.select(F.inline(F.array(parsed))).filter("_corrupt_record IS NULL").drop("_corrupt_record")
     rows = rows.withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz")).filter("timestamp IS NOT NULL")
     return rows if hours is None else rows.filter(F.col("timestamp") >= hours_before(as_of, hours))
 

@@ -45,8 +45,8 @@ def _text_values(field: T.StructField, c: Column) -> Column | None:
     return None
 
 
-def _holds(pattern: str) -> Callable[[Column], Column]:
-    return lambda text: F.coalesce(text.rlike(P.any_case(pattern)), F.lit(False))
+def _holds(kind: str, pattern: str) -> Callable[[Column], Column]:
+    return lambda text: F.coalesce(P.worth_trying(kind, text) & text.rlike(P.any_case(pattern)), F.lit(False))
 
 
 def classify_record(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -56,7 +56,7 @@ def classify_record(df: DataFrame, columns: Sequence[str], keep: Sequence[str])
     parts = [_text_values(df.schema[c], F.col(c)) for c in columns]
     rows = df.select(*keep, F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts
                                        if p is not None]).alias("_texts"))
-    hits = {n: F.size(F.filter("_texts", _holds(p))) for n, p, _, _ in P.PATTERNS}
+    hits = {n: F.size(F.filter("_texts", _holds(n, p))) for n, p, _, _ in P.PATTERNS}
     rows = rows.select(*keep, *[c.alias(n) for n, c in hits.items()])
     names = [n for n, _, _, _ in P.PATTERNS]
     verdict = P.sensitivity({n: F.col(n) for n in names})
@@ -74,7 +74,7 @@ def _steps(df: DataFrame, column: str) -> DataFrame:
     One projection per pattern: each step reads the text of the step before, so it is worked out once."""
     rows = df.withColumn("_text", F.col(column))
     for kind, pattern, _, _ in P.PATTERNS:
-        rows = rows.withColumn(f"_f_{kind}", P.matches(pattern, F.col("_text")))
+        rows = rows.withColumn(f"_f_{kind}", P.matches(kind, pattern, F.col("_text")))
         rows = rows.withColumn("_text", P.replaced(kind, F.col(f"_f_{kind}"), F.col("_text")))
     return rows
 

@@ -16,8 +16,8 @@ from .registry import he, money, register
 P = AnalysisParams()
 
 
-def _shown(spark, d):
-    return dash.dashboard_inputs(fx.sales(spark, d, True), fx.inventory(spark, d), True)
+def _shown(spark, d, by_month=False):
+    return dash.dashboard_inputs(fx.sales(spark, d, True), fx.inventory(spark, d), True, by_month)
 
 
 def _on_active(tail: str) -> str:
@@ -46,7 +46,7 @@ def _(spark, d):
 @register("monthly_revenue", _on_active(
     f"SELECT strftime(sale_date, '%Y-%m') AS month, {money('sum(revenue)')} AS revenue FROM active_sales GROUP BY 1"))
 def _(spark, d):
-    return dash.monthly_revenue(_shown(spark, d)[0])
+    return dash.monthly_revenue(_shown(spark, d, True)[0])
 
 
 def _supp(sales: str, inv: str) -> str:

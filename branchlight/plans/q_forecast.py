@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal, stock as S
 from ..functions.numeric import half_even
+from ..session import staged
 from ..operators import activity, demand_model as dm, forecast as fc, forecast_review as fr, joins
 from . import fixtures as fx
 from .fixtures import with_ctes
@@ -51,10 +52,11 @@ def item_sales(spark, d):
     return joins.sales_with_item_info(fx.sales(spark, d), fx.inventory(spark, d))
 
 
-def history(spark, d):
-    """Daily totals of active items."""
+def history(spark, d, reread=True):
+    """Daily totals of active items; written out once where a query reads them more than once."""
     s = activity.drop_inactive_sales(item_sales(spark, d), fx.inventory(spark, d), True)
-    return fc.daily_totals(s)
+    daily = fc.daily_totals(s)
+    return staged(daily) if reread else daily
 
 
 _TIME = """isodow(sale_date) - 1 AS day_of_week, dayname(sale_date) AS sale_day,
@@ -193,7 +195,7 @@ def _(spark, d):
 SELECT product_code, branch_code, CAST(sale_date AS VARCHAR) AS sale_date, {he('''last_value(CASE WHEN day(sale_date) > 10 THEN price END IGNORE NULLS)
   OVER (PARTITION BY product_code, branch_code ORDER BY sale_date)''', 4)} AS price FROM daily"""))
 def _(spark, d):
-    h = history(spark, d).select(*fc.PAIR, "sale_date", F.when(F.dayofmonth("sale_date") > 10, F.col("price")).alias("price"))
+    h = history(spark, d, False).select(*fc.PAIR, "sale_date", F.when(F.dayofmonth("sale_date") > 10, F.col("price")).alias("price"))
     return fc.fill_forward_price(h).withColumn("price", half_even(F.col("price"), 4))
 
 

@@ -309,7 +309,7 @@ def analysis(spark, d):
 
 @register("inventory_analysis_window", with_ctes("sales_w inventory", _analysis_cte("sales_w") + _ALL))
 def analysis_window(spark, d):
-    return _rounded(inv.analyze_inventory(_window(spark, d), fx.inventory(spark, d), P, known_filled=True))
+    return _rounded(results(spark, d))
 
 
 def results(spark, d, ordered=False):
@@ -392,7 +392,7 @@ def _(spark, d):
     from ..functions.numeric import half_even
     base = fx.inventory(spark, d).select("product_code").distinct().join(
         inv.selling_day_rates(fx.sales(spark, d)), "product_code", "left")
-    return inv.pareto_abc(base).withColumn("cumulative_share", half_even(F.col("cumulative_share"), 6))
+    return inv.pareto_abc(base).drop("quantity_sold", "sale_days").withColumn("cumulative_share", half_even(F.col("cumulative_share"), 6))
 
 
 def _grid() -> str:

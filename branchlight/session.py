@@ -19,7 +19,7 @@ def build_session(master: str | None = None, app: str = "branchlight", shuffle_p
          .config("spark.sql.ansi.enabled", "true")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+         .config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if master:
         b = b.master(master)
