@@ -9,8 +9,10 @@ from ..functions.numeric import half_even, number_or_zero
 
 
 def _sold(sales: DataFrame) -> Column:
-    if "quantity_sold" in sales.columns:
-        return number_or_zero(F.col("quantity_sold")) > 0
+    """Whether a row shows activity; compacted sales carry the highest single quantity as ``top_sale``."""
+    for name in ("top_sale", "quantity_sold"):
+        if name in sales.columns:
+            return number_or_zero(F.col(name)) > 0
     return F.lit(len(sales.columns) > 1)
 
 

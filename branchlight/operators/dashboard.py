@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even, money
+from ..session import staged
 from .activity import drop_inactive
 
 
@@ -20,8 +21,11 @@ def sales_base(sales: DataFrame, by_month: bool = False) -> DataFrame:
 
 def dashboard_inputs(sales: DataFrame, inventory: DataFrame, known_filled: bool = False,
                      by_month: bool = False) -> tuple[DataFrame, DataFrame]:
-    """What the dashboard shows: compact sales and stock of active products, orphan sales left out."""
-    return drop_inactive(sales_base(sales, by_month), inventory, known_filled)
+    """What the dashboard shows: compact sales and stock of active products, orphan sales left out.
+
+    The compact table is written out once; the activity rule and the figures both read that, so the sales
+    themselves are scanned a single time."""
+    return drop_inactive(staged(sales_base(sales, by_month)), inventory, known_filled)
 
 
 def dashboard_kpis(sales: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import stock as S
 from ..functions.calendar import tag_hijri_season, tag_special_events, with_time_features
 from ..functions.numeric import clip, half_even, ratio
+from ..session import staged
+from .activity import drop_inactive_sales
+from .clean import one_per_pair, with_price
+from .joins import ITEM_COLUMNS
 
 PAIR = ["product_code", "branch_code"]
 INFO = ["product_name", "item_category1", "item_category2", "Last_on_hand", "price", "discount"]
@@ -26,12 +30,28 @@ def daily_totals(unified: DataFrame) -> DataFrame:
     return unified.dropna(subset=[*PAIR, "sale_date"]).groupBy(*PAIR, "sale_date").agg(*aggs)
 
 
+def daily_history(sales: DataFrame, inventory: DataFrame, known_filled: bool = False) -> DataFrame:
+    """Daily totals of active items with their stock attributes.
+
+    Sales are brought to day grain first: a product with a third of all rows shrinks to one row per day in
+    the tasks that read it, before any join sees it. The day table is written out once, since the activity rule
+    and the history both read it."""
+    discount = F.coalesce("discount", F.lit(0)) if "discount" in sales.columns else F.lit(0)
+    priced = with_price(sales.withColumn("discount", discount.cast("decimal(18,4)")), positive_only=True)
+    daily = staged(priced.dropna(subset=[*PAIR, "sale_date"]).groupBy(*PAIR, "sale_date").agg(
+        F.sum("quantity_sold").alias("quantity_sold"), F.sum("revenue").alias("revenue"), F.avg("price").alias("price"),
+        F.sum("discount").alias("discount"), F.max("quantity_sold").alias("top_sale")))
+    attrs = one_per_pair(inventory.select(*PAIR, *ITEM_COLUMNS))
+    return drop_inactive_sales(daily, inventory, known_filled).drop("top_sale").join(attrs, PAIR, "left")
+
+
 def with_calendar(df: DataFrame, events: DataFrame | None, seasons: DataFrame) -> DataFrame:
     return tag_special_events(tag_hijri_season(with_time_features(df), seasons), events)
 
 
-def daily_features(unified: DataFrame, events: DataFrame | None, seasons: DataFrame) -> DataFrame:
-    return with_calendar(daily_totals(unified), events, seasons).withColumn(
+def daily_features(daily: DataFrame, events: DataFrame | None, seasons: DataFrame) -> DataFrame:
+    """Calendar features on the rows of ``daily_history`` or ``daily_totals``."""
+    return with_calendar(daily, events, seasons).withColumn(
         "predicted_quantity_sold", F.lit(None).cast("double"))
 
 

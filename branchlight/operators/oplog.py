@@ -55,15 +55,20 @@ def recent_errors(lines: DataFrame, as_of: str, hours: int = 24, limit: int = 50
 
 def pair_upload_events(log: DataFrame) -> DataFrame:
     """One row per (user, file) with the last start, success and failure event."""
+    return _sessions(log.filter(F.col("event").isin(*UPLOAD_EVENTS)))
+
+
+def _sessions(log: DataFrame, *extra: Column) -> DataFrame:
     def last(event: str, *fields: str) -> Column:
         cell = F.struct("timestamp", *fields)
         return F.max(F.when(F.col("event") == event, cell)).alias(event)
 
-    sessions = log.filter(F.col("event").isin(*UPLOAD_EVENTS)).groupBy("username", "filename").agg(
+    sessions = log.groupBy("username", "filename").agg(
         last("upload_start", "file_size_mb"), last("upload_success", "processing_time_ms", "branch_name"),
-        last("upload_failure", "error_type"))
+        last("upload_failure", "error_type"), *extra)
+    kept = [c for c in sessions.columns if c not in UPLOAD_EVENTS]
     return sessions.select(
-        "username", "filename", F.col("upload_start.timestamp").alias("started_at"),
+        *kept, F.col("upload_start.timestamp").alias("started_at"),
         F.col("upload_start.file_size_mb").alias("file_size_mb"),
         F.col("upload_success.timestamp").alias("succeeded_at"),
         F.col("upload_success.processing_time_ms").alias("processing_time_ms"),
@@ -72,21 +77,23 @@ def pair_upload_events(log: DataFrame) -> DataFrame:
 
 
 def upload_stats(log: DataFrame) -> DataFrame:
-    """Totals, success rate and averages over paired uploads, and the number of warning lines."""
+    """Totals, success rate and averages over paired uploads, and the number of warning lines, in one pass."""
+    upload = F.count_if(F.col("event").isin(*UPLOAD_EVENTS)).alias("_lines")
+    warned = F.count_if(F.col("level") == "WARNING").alias("_warned")
     ok, bad = F.col("succeeded_at").isNotNull(), F.col("succeeded_at").isNull() & F.col("failed_at").isNotNull()
 
     def positive(c: str) -> Column:
         return F.sum(F.when(ok & (F.col(c) > 0), F.col(c)))
 
     wins = F.count_if(ok)
-    stats = pair_upload_events(log).agg(
-        F.count(F.lit(1)).alias("total_uploads"), wins.alias("successful_uploads"),
+    n = F.count_if(F.col("_lines") > 0)
+    return _sessions(log, upload, warned).agg(
+        n.alias("total_uploads"), wins.alias("successful_uploads"),
         F.count_if(bad).alias("failed_uploads"),
-        ratio(wins * 100, F.count(F.lit(1)), 0.0).alias("success_rate"),
+        ratio(wins * 100, n, 0.0).alias("success_rate"),
         ratio(positive("file_size_mb"), wins, 0.0).alias("average_file_size_mb"),
-        ratio(positive("processing_time_ms"), wins, 0.0).alias("average_processing_time_ms"))
-    warned = log.agg(F.count_if(F.col("level") == "WARNING")).scalar()
-    return stats.withColumn("performance_warnings", warned)
+        ratio(positive("processing_time_ms"), wins, 0.0).alias("average_processing_time_ms"),
+        F.coalesce(F.sum("_warned"), F.lit(0)).alias("performance_warnings"))
 
 
 def _uploads_by(log: DataFrame, column: str, kept: str) -> DataFrame:

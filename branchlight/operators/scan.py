@@ -35,14 +35,14 @@ def running(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] =
     The order must be total within a key; key columns must not be null.
     """
     sums, last_known, previous = dict(sums or {}), dict(last_known or {}), dict(previous or {})
-    spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [_name(o) for o in order]
 
     inputs = {**{f"_s_{n}": e for n, e in sums.items()}, **{f"_l_{n}": e for n, e in last_known.items()},
               **{f"_p_{n}": e for n, e in previous.items()}}
     rows = df.withColumns(inputs) if inputs else df
-    rows = rows.repartitionByRange(ranges, *[F.col(k) for k in keys], *order)
+    # Without a stated number, adaptive execution sizes the ranges by their bytes.
+    by = [F.col(k) for k in keys] + order
+    rows = rows.repartitionByRange(ranges, *by) if ranges else rows.repartitionByRange(*by)
     rows = staged(rows.withColumn(_PART, F.spark_partition_id()))
 
     within = Window.partitionBy(*keys, _PART).orderBy(*order)

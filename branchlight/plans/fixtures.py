@@ -113,7 +113,9 @@ _DIMENSIONS: dict[str, tuple[list[tuple[int, str]], int]] = {}
 def _dimensions(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[int, str]], int]:
     """The regions (a fixed handful) and the number of suppliers, looked up once per table folder."""
     if sf_dir not in _DIMENSIONS:
-        regions = _read(spark, sf_dir, "region").orderBy("r_regionkey").limit(100).collect()
+        regions = _read(spark, sf_dir, "region").orderBy("r_regionkey").limit(1001).collect()
+        if len(regions) > 1000:
+            raise ValueError("too many regions to unfold part rows over them")
         _DIMENSIONS[sf_dir] = ([(r.r_regionkey, r.r_name) for r in regions], _read(spark, sf_dir, "supplier").count())
     return _DIMENSIONS[sf_dir]
 

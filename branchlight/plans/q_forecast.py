@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal, stock as S
 from ..functions.numeric import half_even
 from ..session import staged
-from ..operators import activity, demand_model as dm, forecast as fc, forecast_review as fr, joins
+from ..operators import demand_model as dm, forecast as fc, forecast_review as fr, joins
 from . import fixtures as fx
 from .fixtures import with_ctes
 from .registry import he, register
@@ -47,15 +47,9 @@ def events(spark):
         .withColumns({"start_date": F.to_date("start_date"), "end_date": F.to_date("end_date")})
 
 
-def item_sales(spark, d):
-    """All sales with their stock attributes."""
-    return joins.sales_with_item_info(fx.sales(spark, d), fx.inventory(spark, d))
-
-
 def history(spark, d, reread=True):
     """Daily totals of active items; written out once where a query reads them more than once."""
-    s = activity.drop_inactive_sales(item_sales(spark, d), fx.inventory(spark, d), True)
-    daily = fc.daily_totals(s)
+    daily = fc.daily_history(fx.sales(spark, d), fx.inventory(spark, d), True)
     return staged(daily) if reread else daily
 
 
@@ -163,9 +157,7 @@ SELECT product_code, branch_code, CAST(sale_date AS VARCHAR) AS sale_date, quant
 FROM (SELECT d.*, {_TIME}, label, (SELECT arg_max(event_name, pos) FROM {_EV} WHERE sale_date BETWEEN a AND b) AS ev
       FROM daily d LEFT JOIN {_SE} ON sale_date BETWEEN a AND b)"""))
 def _(spark, d):
-    out = fc.daily_features(
-        activity.drop_inactive_sales(item_sales(spark, d), fx.inventory(spark, d), True),
-        events(spark), cal.hijri_seasons(spark))
+    out = fc.daily_features(history(spark, d, False), events(spark), cal.hijri_seasons(spark))
     return out.drop("predicted_quantity_sold").withColumns({
         "revenue": F.col("revenue").cast("double"), "discount": F.col("discount").cast("double"),
         "price": half_even(F.col("price"), 4), "Last_on_hand": F.col("Last_on_hand").cast("double")})
@@ -466,8 +458,7 @@ _MODELS: dict[tuple[str, str], dm.DemandModel] = {}
 
 
 def _features(spark, d):
-    return fc.daily_features(activity.drop_inactive_sales(item_sales(spark, d), fx.inventory(spark, d), True),
-                             events(spark), cal.hijri_seasons(spark))
+    return fc.daily_features(history(spark, d, False), events(spark), cal.hijri_seasons(spark))
 
 
 def fitted_model(spark, d) -> dm.DemandModel:
@@ -502,8 +493,7 @@ def _(spark, d):
 
 
 def _run(spark, d):
-    unified = activity.drop_inactive_sales(item_sales(spark, d), fx.inventory(spark, d), True)
-    return dm.run_forecast(unified, DAYS, events(spark), cal.hijri_seasons(spark), fitted_model(spark, d))
+    return dm.run_forecast(history(spark, d, False), DAYS, events(spark), cal.hijri_seasons(spark), fitted_model(spark, d))
 
 
 @register("forecast_daily")

@@ -102,13 +102,22 @@ def test_review_defaults(spark):
     assert r.lower_bound == pytest.approx(0.9) and r.confidence_level == 0.95
 
 
+def test_review_of_one_group_for_all(spark):
+    past = history(spark)
+    ahead = spark.createDataFrame([("p", "A", D(2024, 1, 4), 30.0), ("q", "B", D(2024, 1, 5), 10.0)],
+                                  "product_code string, branch_code string, sale_date date, predicted_quantity_sold double")
+    got = fr.enhance_forecast(ahead, past, [], 12).collect()
+    assert len(got) == 2 and got[0].prediction_variance == 200.0 and fr.FACTOR_WINTER in got[0].external_factors
+    assert {r.predicted_quantity_sold_upper for r in got} == {30.0 * 1.4, 14.0}
+
+
 def test_model_beats_the_global_mean_and_predictions_are_usable(spark):
     rows = [("p" + str(i % 3), "A", D(2024, 1, 1) + dt.timedelta(days=n), 5.0 + 10 * (n % 7 == 4) + i % 3, 2.0)
             for i in range(3) for n in range(90)]
     u = spark.createDataFrame(rows, "product_code string, branch_code string, sale_date date, quantity_sold double, price double") \
         .selectExpr("*", "cast(quantity_sold * price as decimal(18,4)) AS revenue", "cast(0 as decimal(18,4)) AS discount",
                     "50L AS Last_on_hand", "'n' AS product_name", "'c' AS item_category1", "'d' AS item_category2")
-    long, summary, model = dm.run_forecast(u, 7, None, cal.hijri_seasons(spark), trees=8, depth=4, rate=0.3)
+    long, summary, model = dm.run_forecast(fc.daily_totals(u), 7, None, cal.hijri_seasons(spark), trees=8, depth=4, rate=0.3)
     assert model.metrics["rmse"] < model.metrics["global_std"]
     assert sum(w for _, w in model.importances) == pytest.approx(1.0)
     ahead = long.filter("predicted_quantity_sold IS NOT NULL").collect()
