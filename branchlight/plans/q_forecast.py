@@ -234,8 +234,7 @@ def _(spark, d):
     return summary(spark, d).withColumn("confidence", half_even(F.col("confidence"), 6))
 
 
-@register("forecast_high_demand", _daily_sql(_SUM + " WHERE forecast_quantity > 1000"
-          .replace("1000", "250") + " ORDER BY forecast_quantity DESC, product_code, branch_code"))
+@register("forecast_high_demand", _daily_sql(_SUM + " WHERE forecast_quantity > 250 ORDER BY forecast_quantity DESC, product_code, branch_code"))
 def _(spark, d):
     return fc.high_demand(summary(spark, d), 250).withColumn("confidence", half_even(F.col("confidence"), 6))
 
