@@ -39,7 +39,7 @@ def _byte_letters() -> dict[int, str]:
 class ChunkEncoder:
     """Encodes texts with one tokenizer file to little-endian unsigned 32-bit ids. Null counts as the empty text."""
 
-    def __init__(self, path: str, most_chunks: int = 1_000_000):
+    def __init__(self, path: str, most_chunks: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,7 +62,7 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> None:
         plain = []
         for c in chunks:
-            if _PLAIN.fullmatch(c):
+            if c.isascii() and not c.isspace() or _PLAIN.fullmatch(c):
                 plain.append(c)
             else:
                 self._chunks[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
