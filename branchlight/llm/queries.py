@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import mixing, packing, token_files, topk, url_rules
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,9 +37,76 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def _fits(verdict: str, rule: str) -> str:
+    host, _, path = rule.partition("/")
+    return (f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') "
+            f"THEN {{'rule': '{rule}', 'verdict': '{verdict}'}}")
+
+
+@register("op3_url_rules", f"""
+SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, 'allow') AS verdict FROM (
+  SELECT *, CASE {" ".join(_fits(v, r) for v, r in sorted(URL_RULES, key=lambda x: -len(x[1])))} END AS hit FROM (
+    SELECT page_id,
+           translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages))""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@register("op4_mixing", """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, 12))::BIGINT AS key
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS w FROM s),
+r AS (
+  SELECT *, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER p, 0) AS room,
+         sum(w) OVER () - coalesce(sum(w) OVER p, 0) AS rest_w
+  FROM w WINDOW p AS (ORDER BY source_size * (6 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, room * w > 3 * source_size * rest_w AS capped FROM r),
+t AS (
+  SELECT source, source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE
+    (w * (SELECT max(room) FROM c WHERE NOT capped))::DOUBLE / (SELECT max(rest_w) FROM c WHERE NOT capped)::DOUBLE END AS target
+  FROM c),
+b AS (
+  SELECT *, target - whole * source_size AS budget FROM (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t)),
+k AS (SELECT source, key, sum(size)::BIGINT AS inside FROM d GROUP BY source, key),
+u AS (SELECT *, sum(inside) OVER (PARTITION BY source ORDER BY key) AS reached FROM k),
+e AS (
+  SELECT b.source, min_by(CASE WHEN reached - budget < budget - (reached - inside) THEN key + 1 ELSE key END, key) AS bound
+  FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source WHERE budget > 0 AND reached >= budget GROUP BY b.source)
+SELECT doc_id, size, source_size, target,
+       size * (whole + CASE WHEN key < coalesce(bound, 0) THEN 1 ELSE 0 END) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+
+
 @register("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1,
                                     window=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                          "offset")
+
+
+@register("op6_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+SELECT * FROM (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+WHERE rank <= 10""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
