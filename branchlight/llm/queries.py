@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, token_files, topk, url_rules
-from .shared import table
+from . import mixing, packing, quality, token_files, topk, toxicity, url_rules
+from .shared import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,23 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def toxicity_folds(doc_id: Column) -> Column:
+    """Documents whose labels toxicity may be learned from."""
+    return remainder(doc_id, 4) != 2
+
+
+def quality_folds(doc_id: Column) -> Column:
+    """Documents whose labels quality may be learned from."""
+    return remainder(doc_id, 5) != 0
+
+
+@register("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                     toxicity_folds(F.col("doc_id")), threshold=0.3)
+    return scored.select("doc_id", (~toxicity_folds(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 @register("op2_token_files")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_files.token_store(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
@@ -110,3 +127,10 @@ SELECT * FROM (
 WHERE rank <= 10""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@register("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                   quality_folds(F.col("doc_id")), threshold=0.3)
+    return scored.select("doc_id", (~quality_folds(F.col("doc_id"))).alias("held_out"), "score", "predicted")

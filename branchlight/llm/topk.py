@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,10 +68,9 @@ class _Block:
                     yield at, ids[some], score
 
 
-def _ranges(block: _Block, k: int):
-    n = len(block.ids)
-
+def _ranges(held: Broadcast, k: int):
     def run(batches):
+        block, n = held.value, len(held.value.ids)
         top, seen = np.full((n, k), _NONE), np.zeros(n, np.int64)
         low = np.full(n, np.iinfo(np.int64).max)
         for at, _, score in block.scores(batches):
@@ -87,10 +87,9 @@ def _ranges(block: _Block, k: int):
     return run, "q long, n long, low long, kth long, high long"
 
 
-def _counts(block: _Block, low: np.ndarray, high: np.ndarray, width: np.ndarray):
-    n = len(block.ids)
-
+def _counts(held: Broadcast, low: np.ndarray, high: np.ndarray, width: np.ndarray):
     def run(batches):
+        block, n = held.value, len(held.value.ids)
         total = np.zeros(n * BINS, np.int64)
         for at, _, score in block.scores(batches):
             bins = (score - low[at][:, None]) // width[at][:, None]
@@ -103,10 +102,9 @@ def _counts(block: _Block, low: np.ndarray, high: np.ndarray, width: np.ndarray)
     return run, "q long, bin long, n long"
 
 
-def _winners(block: _Block, value: np.ndarray, missing: np.ndarray):
-    n = len(block.ids)
-
+def _winners(held: Broadcast, value: np.ndarray, missing: np.ndarray):
     def run(batches):
+        block, n = held.value, len(held.value.ids)
         ties: list[np.ndarray] = [np.zeros(0, np.int64)] * n
         for at, ids, score in block.scores(batches):
             q, c = np.nonzero(score > np.maximum(value[at], _NONE)[:, None])
@@ -154,8 +152,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block_rows: int = 2
     result = "query_id long, rank int, vec_id long, score long"
     spark.createDataFrame([], result).write.parquet(path)
     for block in _blocks(queries, block_rows):
-        held = spark.sparkContext.broadcast(block).value
-        n = len(held.ids)
+        held = spark.sparkContext.broadcast(block)
+        n = len(block.ids)
         low, high, need = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64)
         run, kind = _ranges(held, k)
         for r in (rows.mapInArrow(run, kind).groupBy("q").agg(F.sum("n").alias("n"), F.min("low").alias("low"),
