@@ -13,10 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bytescan import CHUNKS, LINES, runs, text_groups
-from .shared import labelled_sample
+from .shared import labelled_sample, rows_by_score, scored_texts
 
 _CLASSES = {
     "upper": lambda b: 65 <= b <= 90, "lower": lambda b: 97 <= b <= 122, "digit": lambda b: 48 <= b <= 57,
@@ -161,14 +160,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, chosen: Column, rows: int
     return Trees.loaded(bytes(found[0].trees))
 
 
-def quality_score(docs: DataFrame, trees: Trees) -> Callable[[str], Column]:
-    """A function of a text column: the probability of label 1. Null counts as the empty text."""
-    held = docs.sparkSession.sparkContext.broadcast(trees)
-
-    @F.arrow_udf(T.DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
-        out = [held.value.score(statistics(data, offsets)) for data, offsets in text_groups(texts)]
-        return pa.array(np.concatenate(out) if out else np.zeros(0))
+def scorer(trees: Trees) -> Callable[[pa.Array], np.ndarray]:
+    """From texts to the probabilities of label 1. Null counts as the empty text."""
+    def score(texts: pa.Array) -> np.ndarray:
+        x = [statistics(data, offsets) for data, offsets in text_groups(texts)]
+        return trees.score(np.concatenate(x)) if x else np.zeros(0)
 
     return score
 
@@ -181,13 +177,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, chosen: Column, threshold:
     scored alike; labels other than 0 and 1 aren't learned from, and without any label every score is 0.5. Columns
     other than doc_id and text aren't read.
     """
-    score = quality_score(docs, train_quality(docs, labels, chosen, rows))
-    return docs.select("doc_id", score("text").alias("score")).withColumn(
+    return scored_texts(docs, train_quality(docs, labels, chosen, rows), scorer).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, chosen: Column, threshold: float = 0.3,
                  rows: int = 16_000) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least ``threshold``."""
-    score = quality_score(docs, train_quality(docs, labels, chosen, rows))
-    return docs.where(score("text") >= threshold)
+    return rows_by_score(docs, train_quality(docs, labels, chosen, rows), scorer, lambda s: s >= threshold)

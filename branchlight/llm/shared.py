@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, chosen: Colu
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+
+
+def scored_texts(docs: DataFrame, model, scorer: Callable) -> DataFrame:
+    """(doc_id, score) of every document; ``scorer(model)`` gives a function from a text array to scores."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        score = scorer(held.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(batch.column("text")), pa.float64())],
+                                             names=["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def rows_by_score(docs: DataFrame, model, scorer: Callable, keep: Callable) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text's score satisfies ``keep``."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        score = scorer(held.value)
+        for batch in batches:
+            yield batch.filter(pa.array(keep(score(batch.column(at)))))
+
+    return docs.mapInArrow(run, docs.schema)

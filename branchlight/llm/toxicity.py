@@ -13,10 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bytescan import WORDS, distinct, mixed, runs, text_groups
-from .shared import labelled_sample
+from .shared import labelled_sample, rows_by_score, scored_texts
 
 BITS = 20
 
@@ -99,25 +98,21 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, chosen: Column, rows: int
     return np.array(found[0].at, np.int64), np.array(found[0].w), found[0].bias
 
 
-def toxicity_score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float]) -> Callable[[str], Column]:
-    """A function of a text column: the probability of label 1. Null counts as the empty text, whose score is the bias's."""
-    held = docs.sparkSession.sparkContext.broadcast(weights)
-    dense: list[np.ndarray] = []
+def scorer(weights: tuple[np.ndarray, np.ndarray, float]) -> Callable[[pa.Array], np.ndarray]:
+    """From texts to the probabilities of label 1. Null counts as the empty text, whose score is the bias's."""
+    at, w, bias = weights
+    dense = np.zeros(1 << BITS, np.float32)
+    dense[at] = w
 
-    @F.arrow_udf(T.DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
-        at, w, bias = held.value
-        if not dense:
-            dense.append(np.zeros(1 << BITS, np.float32))
-            dense[0][at] = w
-        out = []
+    def score(texts: pa.Array) -> np.ndarray:
+        out = [np.zeros(0)]
         for data, offsets in text_groups(texts):
             doc, ids = features(data, offsets)
-            hit = dense[0][ids] != 0
+            hit = dense[ids] != 0
             pairs = distinct(doc[hit] << BITS | ids[hit])
-            total = np.bincount(pairs >> BITS, dense[0][pairs & (1 << BITS) - 1], len(offsets) - 1)
+            total = np.bincount(pairs >> BITS, dense[pairs & (1 << BITS) - 1], len(offsets) - 1)
             out.append(1 / (1 + np.exp(-np.clip(total + bias, -35, 35))))
-        return pa.array(np.concatenate(out) if out else np.zeros(0))
+        return np.concatenate(out)
 
     return score
 
@@ -129,13 +124,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, chosen: Column, threshold
     Null texts are empty texts; null ids are scored but never learned from; repeated rows are scored alike; labels other than 0
     and 1 aren't learned from, and without any label every score is 0.5. Columns other than doc_id and text aren't read.
     """
-    score = toxicity_score(docs, train_toxicity(docs, labels, chosen, rows))
-    return docs.select("doc_id", score("text").alias("score")).withColumn(
+    return scored_texts(docs, train_toxicity(docs, labels, chosen, rows), scorer).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, chosen: Column, threshold: float = 0.3,
                   rows: int = 12_000) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``threshold``."""
-    score = toxicity_score(docs, train_toxicity(docs, labels, chosen, rows))
-    return docs.where(score("text") < threshold)
+    return rows_by_score(docs, train_toxicity(docs, labels, chosen, rows), scorer, lambda s: s < threshold)
