@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, token_files, topk, toxicity, url_rules
+from . import fingerprint, mixing, packing, quality, token_files, topk, toxicity, url_rules
 from .shared import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
                                    quality_folds(F.col("doc_id")), threshold=0.3)
     return scored.select("doc_id", (~quality_folds(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+@register("op8_fingerprint")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints_and_edits(table(spark, sf_dir, "documents"))
