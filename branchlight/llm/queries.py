@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, packing, quality, token_files, topk, toxicity, url_rules
+from . import fingerprint, mixing, packing, quality, simhash, token_files, topk, toxicity, url_rules
 from .shared import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_fingerprint")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints_and_edits(table(spark, sf_dir, "documents"))
+
+
+@register("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
