@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, packing, quality, simhash, token_files, topk, toxicity, url_rules
+from . import fingerprint, lattice_lm, mixing, packing, quality, simhash, token_files, topk, toxicity, url_rules
 from .shared import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register("op10_lattice_lm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lattice_lm.score_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"),
+                                        learns=remainder(F.col("doc_id"), 10) != 0)
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
