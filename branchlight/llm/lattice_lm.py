@@ -5,8 +5,8 @@ holds, and the forward recursion adds, in log space, the weights of all segmenta
 probability Q(word). Pieces that start with the word mark begin a word; no other edge crosses a word's border, so a text's
 marginal is the product over its words and the end.
 
-Piece weights start from the vocabulary's own scores (minus the merge rank: a Zipf law over ranks) and are fitted to the
-corpus by expectation maximisation over the distinct words and their counts. As usual for words that were seen often, the
+Piece weights start from the vocabulary's own scores (its segmentation of the corpus's words, and a Zipf law over the merge
+ranks) and are fitted to the corpus by expectation maximisation over the distinct words and their counts. As usual for words that were seen often, the
 lattice also has an edge for the whole word: its discounted count, (c - d) / N, and what the discounts free, d for each
 distinct token, weights the segmentations into pieces. All token probabilities add up to one.
 
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from .shared import partitions_for, words_of, written
 
 MARK = "▁"
-HEAD = 500_000
+HEAD = 1_000_000
 ALPHA, DISCOUNT = 0.1, 0.5
+#: Words with fewer letters: their probability is above 1e-300, as no piece's is below 1e-14.
+SHORT = 20
 _FLUSH = 200_000
 
 
@@ -41,7 +43,9 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.path = path
         self.pieces: list[str] = []
+        self.places = np.full(model.get_piece_size(), -1)  # the piece of each of the tokenizer's ids
         self.bytes = [0] * 256  # the piece of each byte
         weights = []
         for i in range(model.get_piece_size()):
@@ -50,12 +54,20 @@ class Vocabulary:
                 self.bytes[int(piece[3:5], 16)] = len(self.pieces)
             elif model.is_control(i) or model.is_unknown(i) or not piece or MARK in piece[1:]:
                 continue
+            self.places[i] = len(self.pieces)
             self.pieces.append(piece)
             # Scores of merges are minus their ranks; bytes and letters have the lowest.
             weights.append(1.0 / (10.0 - model.get_score(i)))
         self.starts = np.array([p.startswith(MARK) for p in self.pieces])
         self.first = np.array(weights) / sum(weights)
 
+    def segmented(self, words: list[str]) -> list[list[int]]:
+        """The tokenizer's own segmentation of each word."""
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        return model.encode([w.encode("utf-8", "replace").decode() for w in words], num_threads=1)
+
 
 class Lattice:
     """Forward (and backward) recursions over the segmentations of words, given the pieces' probabilities."""
@@ -72,6 +84,7 @@ class Lattice:
         for piece in list(self.edges):
             for n in range(1, len(piece)):
                 self.edges.setdefault(piece[:n], None)
+        self.plain = {k: e and (e[0], math.exp(e[1])) for k, e in self.edges.items()}
 
     def _steps(self, word: str) -> list[list[tuple[int, float, list[int]]]]:
         """From each place: (place reached, log weight, pieces) of the edges. A letter without a piece takes its bytes."""
@@ -118,8 +131,44 @@ class Lattice:
                 alpha[i + 1] = x + log1p(exp(y - x)) if y > x - 40 else x
         return alpha[n]
 
-    def expect(self, word: str, count: float, into: np.ndarray) -> None:
+    def expect(self, word: str, count: float, into: list[float]) -> None:
         """Add the expected uses of each piece in ``count`` words to ``into``."""
+        if len(word) >= SHORT:
+            return self._expect_long(word, count, into)
+        # In a short word no product of weights leaves the range of doubles.
+        word = MARK + word
+        get, n = self.plain.get, len(word)
+        alpha, used = [0.0] * (n + 1), []
+        alpha[0] = 1.0
+        for i in range(n):
+            a = alpha[i]
+            single = False
+            for j in range(i + 1, n + 1):
+                edge = get(word[i:j], 0)
+                if edge == 0:
+                    break
+                if edge:
+                    single = single or j == i + 1
+                    alpha[j] += a * edge[1]
+                    used.append((i, j, edge[1], edge[0]))
+            if not single:
+                spelled = [self.bytes[b] for b in word[i].encode("utf-8", "surrogatepass")]
+                w = math.exp(sum(x for _, x in spelled))
+                alpha[i + 1] += a * w
+                used.append((i, i + 1, w, [p for p, _ in spelled]))
+        beta = [0.0] * (n + 1)
+        beta[n] = count / alpha[n]
+        for i, j, w, piece in reversed(used):
+            y = beta[j] * w
+            beta[i] += y
+            if piece.__class__ is int:
+                into[piece] += alpha[i] * y
+            else:
+                for p in piece:
+                    into[p] += alpha[i] * y
+
+    def _expect_long(self, word: str, count: float, into: list[float]) -> None:
+        """The same with logarithms."""
         steps = self._steps(MARK + word)
         n = len(steps)
         alpha, beta = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
@@ -177,33 +226,54 @@ def word_counts(docs: DataFrame, learns: Column) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit_pieces(words: DataFrame, vocabulary: Vocabulary, ends: int, rounds: int = 2, floor: float = 0.01
+def fit_pieces(words: DataFrame, vocabulary: Vocabulary, ends: int, rounds: int = 1, floor: float = 0.01
                ) -> tuple[np.ndarray, float]:
-    """Probabilities of the pieces and of the end, adding up to one, by ``rounds`` of expectation maximisation.
+    """Probabilities of the pieces and of the end, adding up to one.
 
-    Only sums by piece come to the driver: as many numbers as the vocabulary has pieces.
+    The first weights mix, 9 to 1, the pieces' uses in the vocabulary's own segmentation of every word and its rank weights;
+    then come ``rounds`` of expectation maximisation. Only sums by piece come to the driver: as many numbers as the
+    vocabulary has pieces.
     """
     spark = words.sparkSession
-    p = vocabulary.first
+    known = words.where("c > 0")
+
+    def uses(run) -> np.ndarray:
+        out = np.zeros(len(vocabulary.pieces))
+        for r in (known.mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()):
+            out[r.piece] = r.uses
+        return out
+
+    def sums(into: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(into)
+        return pa.RecordBatch.from_pydict({"piece": pa.array(some, pa.int64()), "uses": pa.array(into[some])})
+
+    given = spark.sparkContext.broadcast(vocabulary)
+
+    def segment(batches):
+        into = np.zeros(len(given.value.pieces))
+        for batch in batches:
+            found = given.value.segmented([_text(w) for w in batch.column("word").to_pylist()])
+            each = np.repeat(batch.column("c").to_numpy(), [len(x) for x in found])
+            at = given.value.places[np.array([i for x in found for i in x], np.int64)]
+            into += np.bincount(at[at >= 0], each[at >= 0], len(into))
+        yield sums(into)
+
+    hard = uses(segment)
+    p = (0.9 * hard / hard.sum() if hard.any() else 0.9 * vocabulary.first) + 0.1 * vocabulary.first
     end = 0.0
     for _ in range(rounds):
         held = spark.sparkContext.broadcast((vocabulary, p))
 
         def expect(batches):
-            lattice, into = Lattice(*held.value), np.zeros(len(held.value[1]))
+            lattice, into = Lattice(*held.value), [0.0] * len(held.value[1])
             for batch in batches:
                 for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
                     lattice.expect(_text(word), c, into)
-            some = np.flatnonzero(into)
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(some, pa.int64()), "uses": pa.array(into[some])})
-
-        uses = np.full(len(p), floor)
-        rows = (words.where("c > 0").mapInArrow(expect, "piece long, uses double").groupBy("piece")
-                .agg(F.sum("uses").alias("uses")).collect())
-        for r in rows:
-            uses[r.piece] += r.uses
-        total = uses.sum() + ends + floor
-        p, end = uses / total, (ends + floor) / total
+            yield sums(np.array(into))
+
+        soft = uses(expect) + floor
+        total = soft.sum() + ends + floor
+        p, end = soft / total, (ends + floor) / total
     return p, end
 
 
@@ -224,7 +294,7 @@ def score_documents(docs: DataFrame, vocabulary_file: str, learns: Column) -> Da
         F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.least("c", F.lit(DISCOUNT))), F.lit(0.0))).first()
     n, distinct, freed = n + ends, distinct + (ends > 0), freed + min(ends, DISCOUNT)
     # Partitions by the number of words: their lattices are the work, not their bytes.
-    p, end = fit_pieces(words.repartition(partitions_for(words, 50_000)), vocabulary, ends, rounds=2 if ends else 1)
+    p, end = fit_pieces(words.repartition(partitions_for(words, 50_000)), vocabulary, ends)
     rest = freed / n if n else 1.0
     begins = p[vocabulary.starts].sum() + end
     below = n + ALPHA * (distinct + 1)
