@@ -9,6 +9,7 @@ into the fullest; what then is left of the last window is cut into windows of po
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,28 +60,26 @@ class SumOfSquares:
 
     def close(self) -> Iterator[list[Piece]]:
         """All open windows, filled up from each other; the rest in windows of powers of two."""
-        left = [w for level in reversed(self.open) for w in level]
-        pool = [p for w in reversed(left) for p in w]  # the emptiest windows' pieces first
+        left = [w for level in reversed(self.open) for w in level]  # the fullest first
         fills = [sum(len(p[3]) for p in w) // 4 for w in left]
-        total, full = sum(fills), sum(fills) // self.window
-        for w, fill in zip(left[:full], fills):
-            for p in w:
-                pool.remove(p)
-            while fill < self.window:
-                part, rest = _cut(pool[0], self.window - fill)
-                pool[:1] = [rest] if rest else []
-                w.append(part)
-                fill += len(part[3]) // 4
-            yield w
-        rest = total - full * self.window
-        for size in (1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1):
-            w, fill = [], 0
-            while fill < size:
-                part, more = _cut(pool[0], size - fill)
-                pool[:1] = [more] if more else []
-                w.append(part)
-                fill += len(part[3]) // 4
-            yield w
+        full, rest = divmod(sum(fills), self.window)
+        # The emptiest windows hold at least as much as the others lack.
+        pool = deque(p for w in left[full:] for p in w)
+
+        def fill(window: list[Piece], lack: int) -> list[Piece]:
+            while lack:
+                part, more = _cut(pool.popleft(), lack)
+                if more:
+                    pool.appendleft(more)
+                window.append(part)
+                lack -= len(part[3]) // 4
+            return window
+
+        for window, filled in zip(left[:full], fills):
+            yield fill(window, self.window - filled)
+        for bit in reversed(range(rest.bit_length())):
+            if rest >> bit & 1:
+                yield fill([], 1 << bit)
 
 
 def _cut(piece: Piece, size: int) -> tuple[Piece, Piece | None]:
