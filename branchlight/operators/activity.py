@@ -24,36 +24,28 @@ def inactive_products(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     return top.join(sold, "product_code", "left_anti").select("product_code")
 
 
-def drop_inactive_inventory(sales: DataFrame, inventory: DataFrame, known_filled: bool = False) -> DataFrame:
-    """Stock rows of active products. With no sales at all nothing is dropped.
-
-    ``known_filled`` says that the sales table has rows, which saves the look at it."""
+def drop_inactive_inventory(sales: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Stock rows of active products. With no sales at all nothing is dropped."""
     idle = inactive_products(sales, inventory)
-    if known_filled:
-        return inventory.join(idle, "product_code", "left_anti").select(*inventory.columns)
     return (inventory.join(idle.withColumn("_idle", F.lit(True)), "product_code", "left")
             .filter(F.col("_idle").isNull() | ~sales.exists())
             .select(*inventory.columns))
 
 
-def drop_inactive_sales(sales: DataFrame, inventory: DataFrame, known_filled: bool = False) -> DataFrame:
+def drop_inactive_sales(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     """Sales rows of active products that have a stock row; an empty inventory drops nothing."""
     top = (inventory.filter("product_code IS NOT NULL").groupBy("product_code")
            .agg(F.max(number_or_zero(F.col("Last_on_hand"))).alias("_top")))
     sold = sales.filter(_sold(sales)).select("product_code").distinct().withColumn("_sold", F.lit(True))
     active = (top.join(sold, "product_code", "left")
               .filter("_top <> 0 OR _sold").select("product_code").withColumn("_ok", F.lit(True)))
-    if known_filled:
-        return sales.join(active, "product_code", "left_semi").select(*sales.columns)
     return (sales.join(active, "product_code", "left")
             .filter(F.col("_ok").isNotNull() | ~inventory.exists())
             .select(*sales.columns))
 
 
-def drop_inactive(sales: DataFrame, inventory: DataFrame,
-                  known_filled: bool = False) -> tuple[DataFrame, DataFrame]:
-    return (drop_inactive_sales(sales, inventory, known_filled),
-            drop_inactive_inventory(sales, inventory, known_filled))
+def drop_inactive(sales: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return drop_inactive_sales(sales, inventory), drop_inactive_inventory(sales, inventory)
 
 
 def drop_orphan_sales(sales: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -25,12 +25,12 @@ def alert_rows(inventory: DataFrame, as_of: str | None = None) -> DataFrame:
 
 
 def inventory_alerts(inventory: DataFrame, sales: DataFrame, branch: str | None = None, limit: int | None = 10,
-                     as_of: str | None = None, status: str | None = None, known_filled: bool = False) -> DataFrame:
+                     as_of: str | None = None, status: str | None = None) -> DataFrame:
     """The most urgent alerts of active items: by priority, then stock. ``limit=None`` keeps all.
 
     The band test runs before the activity join, so only rows in a band take part in it."""
     inventory, sales = filter_branch(inventory, branch), filter_branch(sales, branch)
-    rows = filter_severity(alert_rows(drop_inactive_inventory(sales, inventory, known_filled), as_of), status)
+    rows = filter_severity(alert_rows(drop_inactive_inventory(sales, inventory), as_of), status)
     rows = rows.orderBy("priority", "current_stock", "product_code", "branch_code")
     return rows if limit is None else rows.limit(check_limit(limit))
 

@@ -12,22 +12,37 @@ from pyspark.sql import types as T
 _LEDGER = "chunk_id string, ok boolean, error string, items long, result string"
 
 
+def _chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Frames of ``size`` rows, carried over batch borders; the last may be shorter."""
+    held: list[pd.DataFrame] = []
+    rows = 0
+    for batch in batches:
+        while len(batch):
+            part, batch = batch.iloc[:size - rows], batch.iloc[size - rows:]
+            held.append(part)
+            rows += len(part)
+            if rows == size:
+                yield pd.concat(held, ignore_index=True)
+                held, rows = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], object], chunk_size: int = 50) -> DataFrame:
     """Run ``fn`` on chunks of each partition; one ledger row per chunk with its outcome or its error.
 
-    A failing chunk is reported and does not stop the others."""
+    Every chunk but a partition's last has ``chunk_size`` rows, whatever size the Arrow batches have. A failing
+    chunk is reported and does not stop the others."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for low in range(0, len(batch), chunk_size):
-                chunk = batch.iloc[low:low + chunk_size]
-                try:
-                    row = (f"{part}-{at}", True, None, len(chunk), str(fn(chunk)))
-                except Exception as err:  # noqa: BLE001  the ledger carries every error of the user's function
-                    row = (f"{part}-{at}", False, f"{type(err).__name__}: {err}", len(chunk), None)
-                at += 1
-                yield pd.DataFrame([row], columns=["chunk_id", "ok", "error", "items", "result"])
+        for chunk in _chunks(batches, chunk_size):
+            try:
+                row = (f"{part}-{at}", True, None, len(chunk), str(fn(chunk)))
+            except Exception as err:  # noqa: BLE001  the ledger carries every error of the user's function
+                row = (f"{part}-{at}", False, f"{type(err).__name__}: {err}", len(chunk), None)
+            at += 1
+            yield pd.DataFrame([row], columns=["chunk_id", "ok", "error", "items", "result"])
     return df.mapInPandas(run, _LEDGER)
 
 

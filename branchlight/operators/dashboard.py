@@ -19,13 +19,12 @@ def sales_base(sales: DataFrame, by_month: bool = False) -> DataFrame:
     return sales.groupBy(*keys).agg(F.sum("revenue").alias("revenue"), F.max("quantity_sold").alias("quantity_sold"))
 
 
-def dashboard_inputs(sales: DataFrame, inventory: DataFrame, known_filled: bool = False,
-                     by_month: bool = False) -> tuple[DataFrame, DataFrame]:
+def dashboard_inputs(sales: DataFrame, inventory: DataFrame, by_month: bool = False) -> tuple[DataFrame, DataFrame]:
     """What the dashboard shows: compact sales and stock of active products, orphan sales left out.
 
     The compact table is written out once; the activity rule and the figures both read that, so the sales
     themselves are scanned a single time."""
-    return drop_inactive(staged(sales_base(sales, by_month)), inventory, known_filled)
+    return drop_inactive(staged(sales_base(sales, by_month)), inventory)
 
 
 def dashboard_kpis(sales: DataFrame, inventory: DataFrame) -> DataFrame:

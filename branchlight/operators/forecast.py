@@ -30,7 +30,7 @@ def daily_totals(unified: DataFrame) -> DataFrame:
     return unified.dropna(subset=[*PAIR, "sale_date"]).groupBy(*PAIR, "sale_date").agg(*aggs)
 
 
-def daily_history(sales: DataFrame, inventory: DataFrame, known_filled: bool = False) -> DataFrame:
+def daily_history(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     """Daily totals of active items with their stock attributes.
 
     Sales are brought to day grain first: a product with a third of all rows shrinks to one row per day in
@@ -42,7 +42,7 @@ def daily_history(sales: DataFrame, inventory: DataFrame, known_filled: bool = F
         F.sum("quantity_sold").alias("quantity_sold"), F.sum("revenue").alias("revenue"), F.avg("price").alias("price"),
         F.sum("discount").alias("discount"), F.max("quantity_sold").alias("top_sale")))
     attrs = one_per_pair(inventory.select(*PAIR, *ITEM_COLUMNS))
-    return drop_inactive_sales(daily, inventory, known_filled).drop("top_sale").join(attrs, PAIR, "left")
+    return drop_inactive_sales(daily, inventory).drop("top_sale").join(attrs, PAIR, "left")
 
 
 def with_calendar(df: DataFrame, events: DataFrame | None, seasons: DataFrame) -> DataFrame:
@@ -55,11 +55,17 @@ def daily_features(daily: DataFrame, events: DataFrame | None, seasons: DataFram
         "predicted_quantity_sold", F.lit(None).cast("double"))
 
 
+def _ahead(days: int) -> int:
+    if days < 1:
+        raise ValueError("a forecast looks at least one day ahead")
+    return days
+
+
 def future_grid(history: DataFrame, days: int) -> DataFrame:
     """Every (product, branch) on each of the ``days`` dates after the last date of the whole table."""
     last = history.agg(F.max("sale_date")).scalar()
     return history.select(*PAIR).distinct().withColumn("_last", last).select(
-        *PAIR, F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", days))).alias("sale_date"))
+        *PAIR, F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", _ahead(days)))).alias("sale_date"))
 
 
 def last_known(history: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -102,7 +108,7 @@ def baseline_forecast(daily: DataFrame, days: int) -> DataFrame:
     Means and dates unfold from one row per pair, so the future rows are never joined."""
     last = daily.agg(F.max("sale_date")).scalar()
     return (weekday_means(daily).withColumn("_last", last)
-            .withColumn("sale_date", F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", days))))
+            .withColumn("sale_date", F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", _ahead(days)))))
             .select(*PAIR, "sale_date", _baseline("sale_date").alias("predicted_quantity_sold")))
 
 
@@ -265,7 +271,7 @@ def per_series_trend(series: DataFrame, keys: Sequence[str], periods: int, value
         F.regr_slope(F.col(value), F.col("_x")).alias("_s"), F.regr_intercept(F.col(value), F.col("_x")).alias("_i"),
         F.max(date).alias("_last"))
     rows = fit.filter("_s IS NOT NULL").withColumn(
-        date, F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", periods))))
+        date, F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", _ahead(periods)))))
     return rows.select(*keys, date, F.greatest(F.col("_s") * x + F.col("_i"), F.lit(0.0)).alias("predicted"))
 
 

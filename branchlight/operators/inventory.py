@@ -35,11 +35,11 @@ def _branch_columns(inventory: DataFrame) -> list[Column]:
 
 
 def analyze_inventory(sales: DataFrame, inventory: DataFrame, params: AnalysisParams = AnalysisParams(),
-                      ordered: bool = True, known_filled: bool = False) -> DataFrame:
+                      ordered: bool = True) -> DataFrame:
     """One row per stock row with coverage, demand, order quantity, status, ABC grade and advice.
 
     Sales enter only as one row per product, so the inactive filter is a test on those rows: no row-level
-    anti-join of the sales table is planned. ``known_filled``: see ``activity.drop_inactive_inventory``.
+    anti-join of the sales table is planned.
     """
     gaps = (missing_columns(sales, ["product_code", "quantity_sold", "sale_date"]),
             missing_columns(inventory, ["product_code", "Last_on_hand"]))
@@ -54,7 +54,7 @@ def analyze_inventory(sales: DataFrame, inventory: DataFrame, params: AnalysisPa
              .withColumn("_idle", (F.col("_top_stock") == 0) & (F.coalesce("_top_sale", F.lit(0.0)) <= 0)))
     active = ~F.coalesce("_idle", F.lit(False))
     rows = (inventory.select(*_branch_columns(inventory)).join(rates, "product_code", "left")
-            .filter(active if known_filled else active | ~sales.exists()))
+            .filter(active | ~sales.exists()))
 
     have = number_or_zero(F.col("Last_on_hand"))
     daily = F.coalesce("daily_sales", F.lit(0.0))

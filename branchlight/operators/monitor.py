@@ -14,9 +14,25 @@ from .oplog import moment
 from .scan import running
 
 
-def rate_violations(requests: DataFrame, most: int = 10, window: str = "1 minute", slide: str | None = None,
-                    ts: str = "ts", user: str = "username") -> DataFrame:
-    """(user, window) pairs with more than ``most`` requests."""
+def rate_violations(requests: DataFrame, most: int = 10, seconds: int = 60, ts: str = "ts",
+                    user: str = "username") -> DataFrame:
+    """Requests that are refused or late because their user made more than ``most`` in the ``seconds`` up to them.
+
+    The span is open at its start: a request exactly ``seconds`` ago no longer counts. A user's time line is cut into spans of
+    that length and each span also sees the one before it, so a busy user's requests are counted by many tasks."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    length = seconds * 1_000_000
+    span = F.floor(F.col("_at") / length)
+    seen = (requests.withColumn("_at", micros).withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
+            .withColumn("_span", F.when(F.col("_own"), span).otherwise(span + 1)))
+    upto = Window.partitionBy(user, "_span").orderBy("_at").rangeBetween(1 - length, 0)
+    counted = seen.withColumn("requests", F.count(F.lit(1)).over(upto))
+    return counted.filter((F.col("_own")) & (F.col("requests") > most)).select(user, ts, "requests")
+
+
+def rate_windows(requests: DataFrame, most: int = 10, window: str = "1 minute", slide: str | None = None,
+                 ts: str = "ts", user: str = "username") -> DataFrame:
+    """(user, window) pairs with more than ``most`` requests: the rule on fixed windows, as streams apply it."""
     frame = F.window(F.col(ts), window, slide) if slide else F.window(F.col(ts), window)
     counts = requests.groupBy(user, frame.alias("_w")).agg(F.count(F.lit(1)).alias("requests"))
     return counts.filter(F.col("requests") > most).select(

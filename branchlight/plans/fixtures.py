@@ -6,7 +6,7 @@ Every table is derived from whole input tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -107,29 +107,20 @@ def sales(spark: SparkSession, sf_dir: str, returns_coded: bool = False) -> Data
                     (price * cut).cast(schemas.MONEY).alias("discount")))
 
 
-_DIMENSIONS: dict[str, tuple[list[tuple[int, str]], int]] = {}
-
-
-def _dimensions(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[int, str]], int]:
-    """The regions (a fixed handful) and the number of suppliers, looked up once per table folder."""
-    if sf_dir not in _DIMENSIONS:
-        regions = _read(spark, sf_dir, "region").orderBy("r_regionkey").limit(1001).collect()
-        if len(regions) > 1000:
-            raise ValueError("too many regions to unfold part rows over them")
-        _DIMENSIONS[sf_dir] = ([(r.r_regionkey, r.r_name) for r in regions], _read(spark, sf_dir, "supplier").count())
-    return _DIMENSIONS[sf_dir]
-
-
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per part and region: each part row is unfolded over the few regions, no cross join."""
-    regions, n_suppliers = _dimensions(spark, sf_dir)
-    cells = F.array(*[F.struct(F.lit(k).alias("r_regionkey"), F.lit(n).alias("r_name")) for k, n in regions])
+    """One row per part and region: a part row is unfolded over the regions' places and joined with the region at each."""
     supplier = _read(spark, sf_dir, "supplier")
-    grid = (_read(spark, sf_dir, "part").withColumn("_supp", F.col("p_partkey") % n_suppliers)
-            .join(supplier, F.col("s_suppkey") == F.col("_supp")).withColumn("_r", F.explode(cells)))
+    region = _read(spark, sf_dir, "region")
+    # One row per region.
+    placed = region.withColumn("_place", F.row_number().over(Window.orderBy("r_regionkey")))
+    count = F.count(F.lit(1))
+    places = F.sequence(F.lit(1), region.agg(count.cast("int")).scalar())
+    grid = (_read(spark, sf_dir, "part").withColumn("_supp", F.col("p_partkey") % supplier.agg(count).scalar())
+            .join(supplier, F.col("s_suppkey") == F.col("_supp")).withColumn("_at", F.explode(places))
+            .join(placed, F.col("_place") == F.col("_at")))
     key = F.col("p_partkey")
-    stock = F.when(key % 10 == 0, F.lit(0)).otherwise((key * 37 + F.col("_r.r_regionkey") * 211) % 997 - 2)
-    return (grid.select(key.cast("string").alias("product_code"), F.col("_r.r_name").alias("branch_code"),
+    stock = F.when(key % 10 == 0, F.lit(0)).otherwise((key * 37 + F.col("r_regionkey") * 211) % 997 - 2)
+    return (grid.select(key.cast("string").alias("product_code"), F.col("r_name").alias("branch_code"),
                     F.col("p_name").alias("product_name"), F.col("p_type").alias("item_category1"),
                     F.col("p_brand").alias("item_category2"), stock.cast("bigint").alias("Last_on_hand"),
                     F.col("p_retailprice").cast(schemas.MONEY).alias("inventory_value"),

@@ -17,7 +17,7 @@ P = AnalysisParams()
 
 
 def _shown(spark, d, by_month=False):
-    return dash.dashboard_inputs(fx.sales(spark, d, True), fx.inventory(spark, d), True, by_month)
+    return dash.dashboard_inputs(fx.sales(spark, d, True), fx.inventory(spark, d), by_month)
 
 
 def _on_active(tail: str) -> str:

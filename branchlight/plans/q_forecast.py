@@ -49,7 +49,7 @@ def events(spark):
 
 def history(spark, d, reread=True):
     """Daily totals of active items; written out once where a query reads them more than once."""
-    daily = fc.daily_history(fx.sales(spark, d), fx.inventory(spark, d), True)
+    daily = fc.daily_history(fx.sales(spark, d), fx.inventory(spark, d))
     return staged(daily) if reread else daily
 
 
@@ -129,7 +129,8 @@ def _(spark, d):
 SELECT CAST(sale_date AS VARCHAR) AS sale_date, label AS seasonal_event, CAST(label IS NOT NULL AS INTEGER) AS is_seasonal
 FROM dates LEFT JOIN {_SE} ON sale_date BETWEEN a AND b"""))
 def _(spark, d):
-    return cal.tag_hijri_season(_dates(spark, d), cal.hijri_seasons(spark))
+    dates = _dates(spark, d)
+    return cal.tag_hijri_season(dates, cal.seasons_of(dates))
 
 
 @register("discount_features", with_ctes("sales", f"""
@@ -157,7 +158,7 @@ SELECT product_code, branch_code, CAST(sale_date AS VARCHAR) AS sale_date, quant
 FROM (SELECT d.*, {_TIME}, label, (SELECT arg_max(event_name, pos) FROM {_EV} WHERE sale_date BETWEEN a AND b) AS ev
       FROM daily d LEFT JOIN {_SE} ON sale_date BETWEEN a AND b)"""))
 def _(spark, d):
-    out = fc.daily_features(history(spark, d, False), events(spark), cal.hijri_seasons(spark))
+    out = fc.daily_features((h := history(spark, d)), events(spark), cal.seasons_of(h))
     return out.drop("predicted_quantity_sold").withColumns({
         "revenue": F.col("revenue").cast("double"), "discount": F.col("discount").cast("double"),
         "price": half_even(F.col("price"), 4), "Last_on_hand": F.col("Last_on_hand").cast("double")})
@@ -457,7 +458,7 @@ _MODELS: dict[tuple[str, str], dm.DemandModel] = {}
 
 
 def _features(spark, d):
-    return fc.daily_features(history(spark, d, False), events(spark), cal.hijri_seasons(spark))
+    return fc.daily_features((h := history(spark, d)), events(spark), cal.seasons_of(h))
 
 
 def fitted_model(spark, d) -> dm.DemandModel:
@@ -492,7 +493,7 @@ def _(spark, d):
 
 
 def _run(spark, d):
-    return dm.run_forecast(history(spark, d, False), DAYS, events(spark), cal.hijri_seasons(spark), fitted_model(spark, d))
+    return dm.run_forecast((h := history(spark, d)), DAYS, events(spark), cal.seasons_of(h, DAYS), fitted_model(spark, d))
 
 
 @register("forecast_daily")

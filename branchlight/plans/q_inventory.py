@@ -168,18 +168,18 @@ def _sale_out(df):
 
 @register("active_inventory", with_ctes("sales inventory", _active("sales", f"SELECT {_INV_OUT} FROM active_inv")))
 def _(spark, d):
-    return activity.drop_inactive_inventory(fx.sales(spark, d), fx.inventory(spark, d), True).select(*_INV_OUT.split(", "))
+    return activity.drop_inactive_inventory(fx.sales(spark, d), fx.inventory(spark, d)).select(*_INV_OUT.split(", "))
 
 
 @register("active_inventory_window",
           with_ctes("sales_w inventory", _active("sales_w", f"SELECT {_INV_OUT} FROM active_inv")))
 def _(spark, d):
-    return activity.drop_inactive_inventory(_window(spark, d), fx.inventory(spark, d), True).select(*_INV_OUT.split(", "))
+    return activity.drop_inactive_inventory(_window(spark, d), fx.inventory(spark, d)).select(*_INV_OUT.split(", "))
 
 
 @register("active_sales", with_ctes("sales_r inventory", _active("sales_r", f"SELECT {_SALE_OUT} FROM active_sales")))
 def _(spark, d):
-    return _sale_out(activity.drop_inactive_sales(fx.sales(spark, d, True), fx.inventory(spark, d), True))
+    return _sale_out(activity.drop_inactive_sales(fx.sales(spark, d, True), fx.inventory(spark, d)))
 
 
 @register("orphan_sales_removed", with_ctes("sales_r inventory", f"""
@@ -228,14 +228,14 @@ UNION ALL SELECT product_code, 'filtered_from_inventory_only' FROM
 @register("referential_diff", with_ctes("sales_r inventory", _active("sales_r", _SETS.replace("SRC", "sales_r"))))
 def _(spark, d):
     s, i = fx.sales(spark, d, True), fx.inventory(spark, d)
-    return activity.referential_diff(s, i, *activity.drop_inactive(s, i, True))
+    return activity.referential_diff(s, i, *activity.drop_inactive(s, i))
 
 
 @register("referential_diff_window",
           with_ctes("sales_w inventory", _active("sales_w", _SETS.replace("SRC", "sales_w"))))
 def _(spark, d):
     s, i = _window(spark, d), fx.inventory(spark, d)
-    return activity.referential_diff(s, i, *activity.drop_inactive(s, i, True))
+    return activity.referential_diff(s, i, *activity.drop_inactive(s, i))
 
 
 # --- A6, A7 and what is read off it ---------------------------------------------------------------
@@ -304,7 +304,7 @@ _ALL = f"SELECT * REPLACE ({he('expected_demand', 4)} AS expected_demand) FROM r
 
 @register("inventory_analysis", with_ctes("sales inventory", _analysis_cte("sales") + _ALL))
 def analysis(spark, d):
-    return _rounded(inv.analyze_inventory(fx.sales(spark, d), fx.inventory(spark, d), P, known_filled=True))
+    return _rounded(inv.analyze_inventory(fx.sales(spark, d), fx.inventory(spark, d), P))
 
 
 @register("inventory_analysis_window", with_ctes("sales_w inventory", _analysis_cte("sales_w") + _ALL))
@@ -312,43 +312,52 @@ def analysis_window(spark, d):
     return _rounded(results(spark, d))
 
 
-def results(spark, d, ordered=False):
-    return inv.analyze_inventory(_window(spark, d), fx.inventory(spark, d), P, ordered=ordered, known_filled=True)
+def results(spark, d):
+    return inv.analyze_inventory(_window(spark, d), fx.inventory(spark, d), P, ordered=False)
 
 
-def _on_results(tail: str) -> str:
-    return with_ctes("sales_w inventory", _analysis_cte("sales_w") + tail)
+def _on_results(name: str, tail: str):
+    """Register a query on the analysis twice: over all sales, and as ``*_window`` over the analysis date range."""
+    def keep(fn):
+        register(name, with_ctes("sales inventory", _analysis_cte("sales") + tail))(
+            lambda spark, d: fn(inv.analyze_inventory(fx.sales(spark, d), fx.inventory(spark, d), P, ordered=False)))
+        register(f"{name}_window", with_ctes("sales_w inventory", _analysis_cte("sales_w") + tail))(
+            lambda spark, d: fn(results(spark, d)))
+        return fn
+    return keep
 
 
 _BRIEF = ["product_code", "branch_code", "Last_on_hand", "daily_sales", "coverage_days", "status"]
 
 
-@register("critical_items", _on_results(
-    f"SELECT {', '.join(_BRIEF)} FROM results WHERE coverage_days < 7 AND daily_sales > 0"))
-def _(spark, d):
-    return inv.critical_items(results(spark, d), P.min_coverage).select(*_BRIEF)
+@_on_results(
+    "critical_items",
+    f"SELECT {', '.join(_BRIEF)} FROM results WHERE coverage_days < 7 AND daily_sales > 0")
+def _(rows):
+    return inv.critical_items(rows, P.min_coverage).select(*_BRIEF)
 
 
-@register("stagnant_items", _on_results(f"SELECT {', '.join(_BRIEF)} FROM results WHERE is_stagnant"))
-def _(spark, d):
-    return inv.stagnant_items(results(spark, d)).select(*_BRIEF)
+@_on_results("stagnant_items", f"SELECT {', '.join(_BRIEF)} FROM results WHERE is_stagnant")
+def _(rows):
+    return inv.stagnant_items(rows).select(*_BRIEF)
 
 
-@register("inventory_search", _on_results(f"""
+@_on_results("inventory_search", f"""
 SELECT {', '.join(_BRIEF)} FROM results WHERE (contains(lower(product_code), 'ring') OR contains(lower(product_name), 'ring')
-   OR contains(lower(item_category1), 'ring')) AND Last_on_hand >= 50 AND Last_on_hand <= 600"""))
-def _(spark, d):
-    return clean.filter_inventory(results(spark, d), search="RING", min_stock=50, max_stock=600, columns=_BRIEF)
+   OR contains(lower(item_category1), 'ring')) AND Last_on_hand >= 50 AND Last_on_hand <= 600""")
+def _(rows):
+    return clean.filter_inventory(rows, search="RING", min_stock=50, max_stock=600, columns=_BRIEF)
 
 
 for _name, _status, _where in (
         ("low", "low_stock", "coverage_days < 7"), ("stagnant", "stagnant", "is_stagnant"),
         ("available", "available", "coverage_days >= 7 AND NOT is_stagnant")):
     def _make(status):
-        return lambda spark, d: clean.filter_inventory(results(spark, d), category="ECONOMY", status=status,
-                                                       min_coverage=7, columns=_BRIEF)
-    register(f"inventory_filter_status_{_name}", _on_results(
-        f"SELECT {', '.join(_BRIEF)} FROM results WHERE item_category1 = 'ECONOMY' AND {_where}"))(_make(_status))
+        return lambda rows: clean.filter_inventory(rows, category="ECONOMY", status=status,
+                                                   min_coverage=7, columns=_BRIEF)
+    _on_results(
+        f"inventory_filter_status_{_name}",
+        f"SELECT {', '.join(_BRIEF)} FROM results WHERE item_category1 = 'ECONOMY' AND {_where}")(_make(_status))
 
 
 _REPORT = ("product_code, product_name, item_category1, item_category2, branch_code, Last_on_hand, supplier_name, "
@@ -357,20 +366,20 @@ _REPORT = ("product_code, product_name, item_category1, item_category2, branch_c
 for _name, _where in (("main", "quantity_sold > 0"), ("critical", "coverage_days < 7 AND daily_sales > 0"),
                       ("stagnant", "is_stagnant")):
     def _make(name):
-        return lambda spark, d: _rounded(inv.inventory_report_tables(results(spark, d), P)[name])
-    register(f"report_{_name}", _on_results(f"SELECT {_REPORT} FROM results WHERE {_where}"))(_make(_name))
+        return lambda rows: _rounded(inv.inventory_report_tables(rows, P)[name])
+    _on_results(f"report_{_name}", f"SELECT {_REPORT} FROM results WHERE {_where}")(_make(_name))
 
 
-@register("notifications", _on_results("""
+@_on_results("notifications", """
 SELECT 'notif_' || product_code || '_' || branch_code AS id, 'تنبيه مخزون' AS title,
   CASE WHEN Last_on_hand = 0 THEN 'نفد المخزون للمنتج ' || product_name || ' في فرع ' || branch_code
        WHEN coverage_days < 7 THEN 'المنتج ' || product_name || ' سينفد خلال ' || CAST(trunc(coverage_days) AS BIGINT) || ' أيام في فرع ' || branch_code
        ELSE 'المخزون (' || CAST(trunc(Last_on_hand) AS BIGINT) || ') أقل من حد الأمان للمنتج ' || product_name || ' في فرع ' || branch_code END AS message,
   CASE WHEN coverage_days < 7 THEN 'warning' ELSE 'info' END AS type, product_code, branch_code AS branch
 FROM results WHERE Last_on_hand < 20 OR coverage_days < 7
-ORDER BY priority_score, coverage_days, product_code, branch_code LIMIT 20"""))
-def _(spark, d):
-    return inv.notifications(results(spark, d), safety_stock=20, limit=20)
+ORDER BY priority_score, coverage_days, product_code, branch_code LIMIT 20""")
+def _(rows):
+    return inv.notifications(rows, safety_stock=20, limit=20)
 
 
 # --- A10, W1 --------------------------------------------------------------------------------------
@@ -452,12 +461,17 @@ def _alerts(source: str) -> str:
 @register("inventory_alerts", with_ctes("sales inventory", _alerts("sales") + """
 SELECT * FROM alerts ORDER BY priority, current_stock, product_code, branch_code LIMIT 1000"""))
 def _(spark, d):
-    return alerts.inventory_alerts(fx.inventory(spark, d), fx.sales(spark, d), limit=1000, as_of=AS_OF, known_filled=True)
+    return alerts.inventory_alerts(fx.inventory(spark, d), fx.sales(spark, d), limit=1000, as_of=AS_OF)
+
+
+@register("inventory_alerts_all", with_ctes("sales inventory", _alerts("sales") + "SELECT * FROM alerts"))
+def _(spark, d):
+    return alerts.inventory_alerts(fx.inventory(spark, d), fx.sales(spark, d), limit=None, as_of=AS_OF)
 
 
-@register("inventory_alerts_all", with_ctes("sales_w inventory", _alerts("sales_w") + "SELECT * FROM alerts"))
+@register("inventory_alerts_all_window", with_ctes("sales_w inventory", _alerts("sales_w") + "SELECT * FROM alerts"))
 def _(spark, d):
-    return alerts.inventory_alerts(fx.inventory(spark, d), _window(spark, d), limit=None, as_of=AS_OF, known_filled=True)
+    return alerts.inventory_alerts(fx.inventory(spark, d), _window(spark, d), limit=None, as_of=AS_OF)
 
 
 @register("inventory_alerts_branch", with_ctes("sales inventory", _alerts("sales").replace(
@@ -466,8 +480,7 @@ def _(spark, d):
     "FROM inventory WHERE product_code", "FROM inventory WHERE branch_code = 'EUROPE' AND product_code") + """
 SELECT * FROM alerts ORDER BY priority, current_stock, product_code, branch_code LIMIT 10"""))
 def _(spark, d):
-    return alerts.inventory_alerts(fx.inventory(spark, d), fx.sales(spark, d), branch="EUROPE", as_of=AS_OF,
-                                   known_filled=True)
+    return alerts.inventory_alerts(fx.inventory(spark, d), fx.sales(spark, d), branch="EUROPE", as_of=AS_OF)
 
 
 @register("alerts_by_severity", with_ctes("sales inventory", _alerts("sales") + f"""
@@ -475,14 +488,13 @@ SELECT * FROM alerts WHERE alert_status = '{S.ALERT_BANDS[2][3]}'
 ORDER BY priority, current_stock, product_code, branch_code LIMIT 50"""))
 def _(spark, d):
     return alerts.inventory_alerts(fx.inventory(spark, d), fx.sales(spark, d), limit=50, as_of=AS_OF,
-                                   status=S.ALERT_BANDS[2][3], known_filled=True)
+                                   status=S.ALERT_BANDS[2][3])
 
 
 @register("alert_summary", with_ctes("sales inventory", _alerts("sales") + "SELECT count(*) AS total_alerts, " + ", ".join(
     f"count(*) FILTER (alert_status = '{lab}') AS {lv}" for lv, _a, _b, lab, _c, _d in S.ALERT_BANDS) + " FROM alerts"))
 def _(spark, d):
-    return alerts.alert_summary(alerts.inventory_alerts(fx.inventory(spark, d), fx.sales(spark, d), limit=None,
-                                                         known_filled=True))
+    return alerts.alert_summary(alerts.inventory_alerts(fx.inventory(spark, d), fx.sales(spark, d), limit=None))
 
 
 @register("alert_levels", with_ctes("inventory", f"""

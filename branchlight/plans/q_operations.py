@@ -302,11 +302,19 @@ def _(spark, d):
 # --- monitoring -----------------------------------------------------------------------------------
 
 @register("rate_violations", """
+SELECT e.user_id::VARCHAR AS username, CAST(e.ts AS VARCHAR) AS ts, count(*) AS requests
+FROM events e JOIN events p ON p.user_id = e.user_id AND p.ts > e.ts - INTERVAL 1 HOUR AND p.ts <= e.ts
+GROUP BY e.event_id, e.user_id, e.ts HAVING count(*) > 2""")
+def _(spark, d):
+    return monitor.rate_violations(fx.query_log(spark, d), 2, 3600)
+
+
+@register("rate_windows", """
 SELECT CAST(user_id AS VARCHAR) AS username, CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start,
   CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR AS VARCHAR) AS window_end, count(*) AS requests
 FROM events GROUP BY 1, 2, 3 HAVING count(*) > 2""")
 def _(spark, d):
-    return monitor.rate_violations(fx.query_log(spark, d), 2, "1 hour")
+    return monitor.rate_windows(fx.query_log(spark, d), 2, "1 hour")
 
 
 @register("concurrency_peaks", with_ctes("ops", """

@@ -14,23 +14,19 @@ from ..schemas import EVENTS_CALENDAR_SCHEMA, UPLOAD_LOG_SCHEMA
 def read_branch_uploads(spark: SparkSession, root: str, fmt: str, schema: T.StructType | None = None) -> DataFrame:
     """All branch files under ``root`` as one table. The branch is the ``branch_code=`` folder or, without one,
     the name of the folder a file lies in."""
-    reader = spark.read.option("recursiveFileLookup", "false")
+    if fmt not in ("csv", "parquet", "json"):
+        raise ValueError(f"unsupported upload format {fmt!r}; use csv, parquet or json")
+    # A recursive listing finds the files of either folder style; the branch comes from their path.
+    reader = spark.read.option("recursiveFileLookup", "true")
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
-    elif fmt not in ("parquet", "json"):
-        raise ValueError(f"unsupported upload format {fmt!r}; use csv, parquet or json")
     if schema is not None:
         reader = reader.schema(T.StructType([f for f in schema.fields if f.name != "branch_code"]))
-    df = reader.format(fmt).load(root)
-    if "branch_code" in df.columns:
-        return df.withColumn("branch_code", F.col("branch_code").cast("string"))
-    flat = spark.read.option("recursiveFileLookup", "true")
-    if fmt == "csv":
-        flat = flat.option("header", True)
-    if schema is not None:
-        flat = flat.schema(T.StructType([f for f in schema.fields if f.name != "branch_code"]))
-    return flat.format(fmt).load(root).withColumn(
-        "branch_code", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    named = F.regexp_extract(F.col("_metadata.file_path"), r"/branch_code=([^/]+)/", 1)
+    # Folder names are escaped in paths.
+    code = F.url_decode(F.replace(F.when(named != "", named).otherwise(folder), F.lit("+"), F.lit("%2B")))
+    return reader.format(fmt).load(root).withColumn("branch_code", code)
 
 
 SNAPSHOT_PARTITIONS = ["module", "data_type", "branch_code", "snapshot_ts"]

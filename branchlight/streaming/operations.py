@@ -4,6 +4,7 @@ Late rows are waited for by a ten-minute watermark; a window is written once the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,63 +37,88 @@ def stream_rate_violations(requests: DataFrame, most: int = 10, window: str = "1
 def stream_stuck_operations(events: DataFrame, limit_seconds: int = 600, ts: str = "ts") -> DataFrame:
     """Operations (``op_id``, ``phase`` start/finish) whose end has not come within the limit of event time.
 
-    One small state per open operation; the event-time timer fires when the watermark passes the deadline."""
+    One small state per operation, which keeps an end that is read before its start; the event-time timer fires when the
+    watermark passes the deadline (or the time of an end whose start hasn't come)."""
     limit_ms = limit_seconds * 1000
 
+    def late(key: tuple, start: int) -> pd.DataFrame:
+        return pd.DataFrame({"op_id": [key[0]], "started": [pd.Timestamp(start, unit="ms")],
+                             "deadline": [pd.Timestamp(start + limit_ms, unit="ms")]})
+
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, finished = state.get if state.exists else (None, None)
         if state.hasTimedOut:
-            (started_ms,) = state.get
             state.remove()
-            yield pd.DataFrame({"op_id": [key[0]], "started": [pd.Timestamp(started_ms, unit="ms")],
-                                "deadline": [pd.Timestamp(started_ms + limit_ms, unit="ms")]})
+            if started is not None and (finished is None or finished > started + limit_ms):
+                yield late(key, started)
             return
         rows = pd.concat(list(frames))
         at_ms = rows["_ts"].map(lambda t: int(t.timestamp() * 1000))
         starts, ends = at_ms[rows["phase"] == "start"], at_ms[rows["phase"] == "finish"]
-        start = int(starts.min()) if len(starts) else (state.get[0] if state.exists else None)
-        if start is None:
-            return
-        if len(ends) and ends.min() <= start + limit_ms:
-            if state.exists:
-                state.remove()
-            return
-        deadline, mark = start + limit_ms, state.getCurrentWatermarkMs()
-        if len(ends) or deadline <= mark:
+        started = min([int(x) for x in starts] + ([started] if started is not None else []), default=None)
+        finished = min([int(x) for x in ends] + ([finished] if finished is not None else []), default=None)
+        # Either side may be read first: both stay until the watermark has passed what could still come.
+        due, mark = (started + limit_ms if started is not None else finished), state.getCurrentWatermarkMs()
+        if due <= mark:
             if state.exists:
                 state.remove()
-            yield pd.DataFrame({"op_id": [key[0]], "started": [pd.Timestamp(start, unit="ms")],
-                                "deadline": [pd.Timestamp(deadline, unit="ms")]})
+            if started is not None and (finished is None or finished > due):
+                yield late(key, started)
             return
-        state.update((start,))
-        state.setTimeoutTimestamp(deadline)
+        state.update((started, finished))
+        state.setTimeoutTimestamp(due)
 
     rows = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", WATERMARK)
     return rows.select("op_id", "phase", "_ts").groupBy("op_id").applyInPandasWithState(
-        watch, "op_id long, started timestamp, deadline timestamp", "started_ms long", "append",
+        watch, "op_id long, started timestamp, deadline timestamp", "started_ms long, finished_ms long", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_expire(records: DataFrame, ttl: str = "30 days", key: str = "key", ts: str = "ts") -> DataFrame:
-    """First record of every key inside its lifetime: repeats within the ttl and rows later than it are dropped,
-    and the state of a key is dropped with it."""
-    rows = records.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", ttl)
-    return rows.dropDuplicatesWithinWatermark([key]).drop("_ts")
+def stream_expire(records: DataFrame, ttl: str = "30 days", ts: str = "ts", as_of: str | None = None) -> DataFrame:
+    """Records whose own lifetime hasn't ended at ``as_of`` (without one, at the time of each trigger).
+
+    Every record expires by its own time; a newer version of a key doesn't depend on an older one."""
+    now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+    return records.filter(F.col(ts).cast("timestamp") + F.expr(f"INTERVAL {ttl}") > now)
 
 
 def upsert_stream(changes: DataFrame, target: str, keys: list[str], version: str, state: str):
     """Keep ``target`` at the newest version of every key. Each trigger writes a new generation folder from the
-    last complete one, so a lost executor or a repeated batch never leaves a half-written table."""
+    newest complete one, whoever wrote that, so a lost executor or a repeated batch never leaves a half-written table.
+
+    A generation notes stream and batch in its folder names; a batch that is repeated finds its own generation and is
+    not merged again. Nothing that is already in ``target`` is overwritten."""
     from ..operators.versions import latest_per_key, upsert
 
+    name = hashlib.sha256(state.encode()).hexdigest()[:16]
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        done = generations(spark, target)
+        if any(source == (name, batch_id) for source in done.values()):
+            return
         newest = latest_per_key(batch, keys, [version])
-        base = read_generation(spark, target, batch_id - 1)
-        merged = newest if base is None else upsert(base, newest, keys, version)
-        merged.write.mode("overwrite").parquet(f"{target}/generation={batch_id}")
+        last = max(done, default=-1)
+        merged = newest if last < 0 else upsert(read_generation(spark, target, last), newest, keys, version)
+        merged.write.mode("overwrite").parquet(f"{target}/generation={last + 1}/stream={name}/batch={batch_id}")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
+def generations(spark, target: str) -> dict[int, tuple[str, int] | None]:
+    """The complete generations of ``target`` with the stream and batch that wrote each, if a stream did."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, tuple[str, int] | None] = {}
+    for pattern in ("generation=*/_SUCCESS", "generation=*/stream=*/batch=*/_SUCCESS"):
+        for found in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, pattern)) or []:
+            parts = dict(p.split("=", 1) for p in found.getPath().toString().split("/") if p.count("=") == 1)
+            out[int(parts["generation"])] = (parts["stream"], int(parts["batch"])) if "stream" in parts else None
+    return out
+
+
 def read_generation(spark, target: str, generation: int) -> DataFrame | None:
-    return None if generation < 0 else spark.read.parquet(f"{target}/generation={generation}")
+    """The rows of one generation; None before the first."""
+    if generation < 0:
+        return None
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{target}/generation={generation}")

@@ -20,7 +20,7 @@ def test_calendar_features(spark):
 
 def test_lunar_seasons(spark):
     got = {r.sale_date: r.seasonal_event for r in cal.tag_hijri_season(
-        dates(spark, D(2024, 3, 10), D(2024, 3, 11), D(2024, 3, 12), D(2024, 6, 9)), cal.hijri_seasons(spark)).collect()}
+        dates(spark, D(2024, 3, 10), D(2024, 3, 11), D(2024, 3, 12), D(2024, 6, 9)), cal.hijri_seasons(spark, D(2020, 1, 1), D(2030, 1, 1))).collect()}
     assert got == {D(2024, 3, 10): cal.SEASON_BEFORE_FAST, D(2024, 3, 11): cal.SEASON_FAST_START, D(2024, 3, 12): None,
                    D(2024, 6, 9): cal.SEASON_BEFORE_FEAST}
 
@@ -117,7 +117,7 @@ def test_model_beats_the_global_mean_and_predictions_are_usable(spark):
     u = spark.createDataFrame(rows, "product_code string, branch_code string, sale_date date, quantity_sold double, price double") \
         .selectExpr("*", "cast(quantity_sold * price as decimal(18,4)) AS revenue", "cast(0 as decimal(18,4)) AS discount",
                     "50L AS Last_on_hand", "'n' AS product_name", "'c' AS item_category1", "'d' AS item_category2")
-    long, summary, model = dm.run_forecast(fc.daily_totals(u), 7, None, cal.hijri_seasons(spark), trees=8, depth=4, rate=0.3)
+    long, summary, model = dm.run_forecast(fc.daily_totals(u), 7, None, cal.hijri_seasons(spark, D(2020, 1, 1), D(2030, 1, 1)), trees=8, depth=4, rate=0.3)
     assert model.metrics["rmse"] < model.metrics["global_std"]
     assert sum(w for _, w in model.importances) == pytest.approx(1.0)
     ahead = long.filter("predicted_quantity_sold IS NOT NULL").collect()
@@ -130,3 +130,25 @@ def test_series_outlook_follows_a_straight_line(spark):
                               "k string, sale_date date, quantity_sold double")
     got = dm.per_series_forecast(s, ["k"], 5).orderBy("sale_date").collect()
     assert len(got) == 5 and abs(got[0].predicted - 220) < 5 and all(0 <= r.confidence <= 0.98 for r in got)
+
+
+def test_seasons_follow_the_dates(spark):
+    far = dates(spark, D(1950, 6, 1), D(2060, 1, 1))
+    days = cal.seasons_of(far, 3).agg(F.min("season_day"), F.max("season_day")).first()
+    assert days[0].year == 1950 and days[1].year >= 2059
+    assert cal.seasons_of(far.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        cal.hijri_seasons(spark, D(1800, 1, 1), D(2000, 1, 1))
+
+
+def test_reversed_events_have_no_day(spark):
+    ev = spark.createDataFrame([(1, "x", D(2024, 1, 10), D(2024, 1, 5)), (2, "y", D(2024, 1, 8), D(2024, 1, 8))],
+                               "event_order int, event_name string, start_date date, end_date date")
+    got = {r.sale_date: r.special_event_name for r in cal.tag_special_events(dates(spark, D(2024, 1, 7), D(2024, 1, 8)), ev).collect()}
+    assert got == {D(2024, 1, 7): "None", D(2024, 1, 8): "y"}
+
+
+def test_at_least_one_day_ahead(spark):
+    for build in (lambda h: fc.future_grid(h, 0), lambda h: fc.baseline_forecast(h, 0), lambda h: fc.per_series_trend(h, ["product_code"], 0)):
+        with pytest.raises(ValueError):
+            build(history(spark))

@@ -95,8 +95,6 @@ def test_inactive_rule(spark):
     kept_s, kept_i = activity.drop_inactive(s, i)
     assert {r.product_code for r in kept_i.collect()} == {"half", "minus", "sold", None}
     assert {r.product_code for r in kept_s.collect()} == {"sold"}
-    fast_s, fast_i = activity.drop_inactive(s, i, known_filled=True)
-    assert rows(fast_s) == rows(kept_s) and rows(fast_i) == rows(kept_i)
 
 
 def test_empty_tables_filter_nothing(spark):

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -87,10 +88,11 @@ def test_stuck_operations_on_both_sides(spark):
     assert sorted(r.op_id for r in got.collect()) == [2, 3]
 
 
-def test_stream_expiry_drops_repeats(spark):
+def test_stream_expiry_is_each_records_own(spark):
     df = spark.createDataFrame([("a", at(0)), ("a", at(10)), ("b", at(20))], "key string, ts timestamp_ntz")
     folder = files(spark, df, [F.lit(True)])
-    assert sorted(r.key for r in drain(so.stream_expire(stream(spark, folder, df.schema), "1 hour")).collect()) == ["a", "b"]
+    got = drain(so.stream_expire(stream(spark, folder, df.schema), "1 hour", as_of=str(at(3605))))
+    assert sorted((r.key, r.ts) for r in got.collect()) == [("a", at(10)), ("b", at(20))]
 
 
 def test_upsert_stream_keeps_the_newest_version(spark):
@@ -98,7 +100,7 @@ def test_upsert_stream_keeps_the_newest_version(spark):
     folder = files(spark, df, by_time(df, "ts", [10]))
     target = shared_folder(spark, "table")
     so.upsert_stream(stream(spark, folder, df.schema), target, ["key"], "ts", shared_folder(spark, "state")).awaitTermination()
-    assert sorted((r.key, r.v) for r in so.read_generation(spark, target, 1).collect()) == [("a", 3), ("b", 2)]
+    assert sorted((r.key, r.v) for r in so.read_generation(spark, target, max(so.generations(spark, target))).collect()) == [("a", 3), ("b", 2)]
 
 
 def test_versions(spark):
@@ -144,9 +146,44 @@ def test_failing_chunks_are_reported(spark):
             raise ValueError("bad luck")
         return len(chunk)
 
+    exact = batches.map_batches(spark.range(0, 25_000, 1, 1), len, 20_000)
+    assert sorted(r["items"] for r in exact.collect()) == [5_000, 20_000]
     ledger = batches.map_batches(df, work, 10)
     assert ledger.filter("NOT ok").first().error == "ValueError: bad luck"
     r = batches.batch_report(ledger).first()
     assert (r.total_items, r.processed_items, r.failed_items, r.success_rate) == (100, 90, 10, 90.0)
     assert [r.double for r in batches.map_rows(spark.range(3), lambda f: f.assign(double=f["id"] * 2), "id long, double long")
             .orderBy("id").collect()] == [0, 2, 4]
+
+
+def test_an_end_read_before_its_start_counts(spark):
+    folder = shared_folder(spark, "in")
+    shape = "op_id long, phase string, ts string"
+    for k, rows in enumerate(([(1, "finish", "2024-01-01 10:02:00")], [(1, "start", "2024-01-01 10:00:00"), (2, "start", "2024-01-01 10:00:00")],
+                              [(3, "start", "2024-01-01 12:00:00")], [(4, "start", "2024-01-01 14:00:00")])):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    rows = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(folder)
+    late = drain(so.stream_stuck_operations(rows, 600)).collect()
+    assert [r.op_id for r in late if r.op_id < 3] == [2]
+
+
+def test_upsert_keeps_what_the_target_holds(spark):
+    folder, target = shared_folder(spark, "in"), shared_folder(spark, "target")
+    shape = "key string, v int, ts string"
+    spark.createDataFrame([("old", 1, "2024-01-01"), ("a", 1, "2024-01-01")], shape).write.parquet(f"{target}/generation=0")
+    spark.createDataFrame([("a", 2, "2024-01-02")], shape).write.parquet(folder)
+    rows = lambda: spark.readStream.schema(shape).parquet(folder)
+    for state in ("one", "one", "two"):
+        so.upsert_stream(rows(), target, ["key"], "ts", f"{target}-{state}").awaitTermination()
+        newest = so.read_generation(spark, target, max(so.generations(spark, target)))
+        assert sorted((r.key, r.v) for r in newest.collect()) == [("a", 2), ("old", 1)]
+    assert {r.v for r in so.read_generation(spark, target, 0).collect()} == {1}
+
+
+def test_rate_over_a_minute_border(spark):
+    at = ["2024-01-01 10:00:%02d" % s for s in range(50, 60)] + ["2024-01-01 10:01:05", "2024-01-01 10:01:11", "2024-01-01 10:02:05"]
+    requests = spark.createDataFrame([("u", t) for t in at], "username string, ts string")
+    got = monitor.rate_violations(requests, 10, 60).collect()
+    # All twelve lie within a minute, on both sides of its border; the last one sees only one other.
+    assert sorted((r.ts, r.requests) for r in got) == [("2024-01-01 10:01:05", 11), ("2024-01-01 10:01:11", 12)]

@@ -22,6 +22,17 @@ def test_branch_uploads_from_partition_and_plain_folders(spark, tmp_path):
         files.read_branch_uploads(spark, str(tmp_path), "xlsx")
 
 
+@pytest.mark.parametrize("fmt", ["csv", "json", "parquet"])
+@pytest.mark.parametrize("style", ["branch_code=", ""])
+def test_branch_uploads_without_a_schema(spark, tmp_path, fmt, style):
+    for b in ("N 1", "S"):
+        rows = spark.createDataFrame([("p", "2")], "product_code string, quantity string").coalesce(1)
+        writer = rows.write.option("header", True) if fmt == "csv" else rows.write
+        writer.format(fmt).save(str(tmp_path / "up" / f"{style}{b}"))
+    got = files.read_branch_uploads(spark, str(tmp_path / "up"), fmt)
+    assert sorted((r.branch_code, r.product_code, str(r.quantity)) for r in got.collect()) == [("N 1", "p", "2"), ("S", "p", "2")]
+
+
 def test_snapshots_keep_versions_and_prune(spark, tmp_path):
     root = str(tmp_path / "store")
     for stamp, value in (("2024-01-01", 1), ("2024-01-02", 2)):
