@@ -2,7 +2,7 @@
 
 Both public BPE files split a text into pretokens that never span white space and a following word, so a text's ids
 are those of its chunks (a word with at most one space before it, or a run of white space) in order. Ids of chunks
-are kept as bytes in a bounded dictionary. Unseen chunks are encoded together: those with a character beyond ASCII
+are kept as bytes in bounded dictionaries. Unseen chunks are encoded together: those with a character beyond ASCII
 and the Latin-1 letters, and runs of white space, go through the whole tokenizer one by one; all others are split by one regular
 expression with the meaning of the file's own pattern and handed to the tokenizer as ready pretokens.
 """
@@ -21,6 +21,8 @@ _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _RUN = re.compile(f"[^{SPACE}]+")
 #: White space for Python, not for the tokenizers.
 _ODD = re.compile("[\x1c-\x1f]")
+#: White space other than single spaces between words and single line ends between lines.
+_UNEVEN = re.compile(f"[\t\x0b-\r\x01\x85\xa0{SPACE[6:]}]|[ \n][ \n]|^[ \n]|[ \n]$")
 _PLAIN = re.compile(f" ?[\x00-\x08\x0e-\x1f!-\x7f{_LETTER}]+")
 _TAILS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPLITS = {
@@ -57,17 +59,28 @@ class ChunkEncoder:
             parts | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
         self._letters = _byte_letters() | {10: "\n"}  # the line end parts pretokens here
         self._chunks: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
         self._most = most_chunks
 
-    def _learn(self, chunks: list[str]) -> None:
+    @staticmethod
+    def _chunk(name: str) -> str:
+        """The chunk of a name in ``_words``."""
+        return name[1:] if name[0] == "\x01" else name if name == "\n" else " " + name
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of unseen chunks."""
+        out: dict[str, bytes] = {}
         plain = []
         for c in chunks:
             if c.isascii() and not c.isspace() or _PLAIN.fullmatch(c):
                 plain.append(c)
             else:
-                self._chunks[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        if not plain:
-            return
+                out[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        if plain:
+            out.update(zip(plain, self._learn_plain(plain)))
+        return [out[c] for c in chunks]
+
+    def _learn_plain(self, plain: list[str]) -> list[bytes]:
         joined = "\n".join(plain)
         pieces = "\n".join(self._split.findall(joined if self._keeps_space else joined.lower()))
         # Between two chunks stand two empty pieces; within a chunk none is empty.
@@ -78,33 +91,42 @@ class ChunkEncoder:
                                                          add_special_tokens=False)[0].ids, "<u4")
         stops = (4 * (np.searchsorted(np.cumsum(self._lengths[ids]), ends) + 1)).tolist()
         raw = ids.tobytes()
-        self._chunks.update(zip(plain, (raw[a:b] for a, b in zip([0, *stops], stops))))
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
     def encode(self, texts: list[str | None], most_chars: int = 1 << 20) -> list[bytes]:
         """Ids of each text; about ``most_chars`` characters are worked on at once."""
         out: list[list[bytes | None]] = []
-        missing: list[tuple[list[bytes | None], int, str]] = []
+        missing: tuple[list[tuple[list[bytes | None], int, str]], ...] = ([], [])
         done = chars = 0
         for i, text in enumerate(texts):
             text = text or ""
-            if self._keeps_space:
+            known = self._chunks
+            if not self._keeps_space:
+                chunks = _RUN.findall(text) if _ODD.search(text) else text.split()
+            elif not text or _UNEVEN.search(text):
                 chunks = _CHUNK.findall(text)
             else:
-                chunks = _RUN.findall(text) if _ODD.search(text) else text.split()
-            parts = list(map(self._chunks.get, chunks))
+                # The common case, by plain splitting: a name is a word after a space, or 0x01 and a word after none.
+                known = self._words
+                chunks = ("\x01" + text.replace("\n", " \n \x01")).split(" ")
+            parts = list(map(known.get, chunks))
             if None in parts:
-                missing += [(parts, at, chunks[at]) for at, p in enumerate(parts) if p is None]
+                missing[known is self._words].extend((parts, at, chunks[at]) for at, p in enumerate(parts) if p is None)
             out.append(parts)
             chars += len(text)
             if chars >= most_chars or i + 1 == len(texts):
-                if missing:
-                    if len(self._chunks) > self._most:
-                        self._chunks.clear()
-                    self._learn(list({c for _, _, c in missing}))
-                    for parts, at, chunk in missing:
-                        parts[at] = self._chunks[chunk]
+                for names, found in zip((self._chunks, self._words), missing):
+                    if found:
+                        if len(names) > self._most:
+                            names.clear()
+                        new = list({c for _, _, c in found})
+                        chunks = new if names is self._chunks else [self._chunk(c) for c in new]
+                        names.update(zip(new, self._learn(chunks)))
+                        for parts, at, chunk in found:
+                            parts[at] = names[chunk]
+                        found.clear()
                 out[done:] = [b"".join(p) for p in out[done:]]
-                missing, done, chars = [], len(out), 0
+                done, chars = len(out), 0
         return out
 
 
