@@ -475,15 +475,9 @@ def _(spark, d):
     return out.select(*fc.PAIR, "sale_date", "quantity_sold", "features")
 
 
-def _metric_table(spark, d, metrics):
-    """The training figures next to the row count of the table they came from."""
-    n = fx.raw(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("sales_rows"))
-    return n.select("sales_rows", *[F.lit(float(v)).alias(k) for k, v in metrics.items()])
-
-
 @register("forecast_metrics")
 def _(spark, d):
-    return _metric_table(spark, d, fitted_model(spark, d).metrics)
+    return dm.model_metrics(fitted_model(spark, d), _features(spark, d))
 
 
 @register("feature_importance_top")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_even
 from ..operators import batches, monitor, oplog, versions
 from ..streaming import alerts as s_alerts, operations as s_ops
-from ..streaming.run import drain
+from ..streaming.run import drain, drain_windows
 from . import fixtures as fx
 from .fixtures import AS_OF, with_ctes
 from .q_inventory import _BANDS
@@ -336,12 +336,12 @@ def _(spark, d):
 
 @register("resource_alerts", """
 SELECT event_id, m AS metric, value, CASE m WHEN 'cpu' THEN 'high_system_cpu' WHEN 'memory' THEN 'high_system_memory' ELSE 'high_disk_usage' END AS alert_type,
-  90.0::DOUBLE AS threshold FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'cpu' WHEN 'click' THEN 'memory' WHEN 'error' THEN 'disk' END AS m, value FROM events)
+  90.0::DOUBLE AS threshold FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'cpu' WHEN 'purchase' THEN 'cpu' WHEN 'error' THEN 'disk' ELSE 'memory' END AS m, value FROM events)
 WHERE m IS NOT NULL AND value > 90""")
 def _(spark, d):
     kind = F.col("event_type")
-    readings = fx.raw(spark, d, "events").select("event_id", F.when(kind == "view", "cpu").when(
-        kind == "click", "memory").when(kind == "error", "disk").alias("metric"), "value")
+    readings = fx.raw(spark, d, "events").select("event_id", F.when(kind.isin("view", "purchase"), "cpu").when(
+        kind == "error", "disk").otherwise("memory").alias("metric"), "value")
     return monitor.resource_alerts(readings)
 
 
@@ -372,18 +372,16 @@ def _(spark, d):
     return drain(s_alerts.stream_stock_alerts(updates, AS_OF))
 
 
-# A window is final once the newest event is ten minutes past its end.
 @register("stream_upload_stats", f"""
 SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start, count(*) FILTER (event_type = 'purchase') AS successful,
   count(*) FILTER (event_type = 'error') AS failed, {he("avg(round(value * 300)) FILTER (event_type = 'purchase')", 4)} AS average_processing_time_ms
-FROM events WHERE event_type IN ('purchase', 'error') GROUP BY date_trunc('hour', ts)
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+FROM events WHERE event_type IN ('purchase', 'error') GROUP BY date_trunc('hour', ts)""")
 def _(spark, d):
     kind = F.col("event_type")
     rows = _stream(spark, d, "events").select(
         F.col("ts").alias("timestamp"), F.when(kind == "purchase", "upload_success").when(kind == "error", "upload_failure")
         .alias("event"), F.round(F.col("value") * 300).alias("processing_time_ms"))
-    out = drain(s_ops.stream_upload_stats(rows))
+    out = drain_windows(s_ops.stream_upload_stats(rows))
     return out.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"),
                             "average_processing_time_ms": half_even(F.col("average_processing_time_ms"), 4)})
 
@@ -392,10 +390,10 @@ def _(spark, d):
 SELECT CAST(user_id AS VARCHAR) AS username, CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start,
   CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR AS VARCHAR) AS window_end, count(*) AS requests
 FROM events GROUP BY user_id, date_trunc('hour', ts)
-HAVING count(*) > 2 AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+HAVING count(*) > 2""")
 def _(spark, d):
     rows = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("username"), "ts")
-    out = drain(s_ops.stream_rate_violations(rows, 2, "1 hour", "1 hour"))
+    out = drain_windows(s_ops.stream_rate_violations(rows, 2, "1 hour", "1 hour"))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 

@@ -42,7 +42,7 @@ def _(spark, d):
 
 
 @register("branch_list", with_ctes("inventory", """
-SELECT string_agg(branch_code, ' | ' ORDER BY branch_code) AS branches, count(*) AS branch_count FROM (SELECT DISTINCT branch_code FROM inventory)"""))
+SELECT branch_code, count(*) OVER () AS branch_count FROM (SELECT DISTINCT branch_code FROM inventory)"""))
 def _(spark, d):
     return rp.branch_list(fx.inventory(spark, d))
 

@@ -24,3 +24,18 @@ def drain(stream: DataFrame, folder: str | None = None) -> DataFrame:
              .trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def drain_windows(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Process everything now available of an aggregated stream and read all its windows, the open ones too.
+
+    Each trigger replaces the whole result, so a repeated one changes nothing; state holds every window. That suits replays
+    of a finished log; a stream that never ends writes windows as the watermark closes them."""
+    spark = stream.sparkSession
+    folder = folder or shared_folder(spark, "windows")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")
+    query = (stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state")
+             .foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/rows"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
