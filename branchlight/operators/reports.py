@@ -185,7 +185,8 @@ def reduce_rows(df: DataFrame, n: int, strategy: str = "head", keys: Sequence[st
     numeric column, or the first ones. ``keys`` make the order total."""
     ties = [F.col(k) for k in keys]
     if strategy == "sample":
-        return df.orderBy(F.xxhash64(*(keys or df.columns), F.lit(seed)), *ties).limit(n)
+        text = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in (keys or df.columns)]
+        return df.orderBy(F.md5(F.concat_ws("|", *text, F.lit(str(seed))).cast("binary")), *ties).limit(n)
     if strategy == "recent":
         dates = [c for c in df.columns if "date" in c.lower()]
         return df.orderBy(F.desc(dates[0]), *ties).limit(n) if dates else \

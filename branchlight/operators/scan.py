@@ -40,7 +40,7 @@ def running(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] =
     inputs = {**{f"_s_{n}": e for n, e in sums.items()}, **{f"_l_{n}": e for n, e in last_known.items()},
               **{f"_p_{n}": e for n, e in previous.items()}}
     rows = df.withColumns(inputs) if inputs else df
-    # Without a stated number, adaptive execution sizes the ranges by their bytes.
+    # Without a stated number there are as many ranges as shuffle partitions; adaptive execution merges small ones.
     by = [F.col(k) for k in keys] + order
     rows = rows.repartitionByRange(ranges, *by) if ranges else rows.repartitionByRange(*by)
     rows = staged(rows.withColumn(_PART, F.spark_partition_id()))

@@ -452,7 +452,7 @@ def _(spark, d):
                       "confidence_score")
 
 
-# --- G1-G3, G6, L5: trained models (rows-only checks) ---------------------------------------------
+# --- G1-G3, G6, L5: feature vectors, and trained models (rows-only checks) ------------------------
 
 _MODELS: dict[tuple[str, str], dm.DemandModel] = {}
 
@@ -469,10 +469,27 @@ def fitted_model(spark, d) -> dm.DemandModel:
     return _MODELS[key]
 
 
-@register("forecast_features")
+_HOT = "list_transform((SELECT list(DISTINCT {0} ORDER BY {0}) FROM f), lambda x: CAST(x = {0} AS INTEGER))"
+
+
+@register("forecast_features", _daily_sql(f""", f AS (
+  SELECT d.*, {_TIME}, coalesce(label, 'None') AS se, CAST(label IS NOT NULL AS INTEGER) AS seasonal,
+    coalesce((SELECT arg_max(event_name, pos) FROM {_EV} WHERE sale_date BETWEEN a AND b), 'None') AS ev
+  FROM daily d LEFT JOIN {_SE} ON sale_date BETWEEN a AND b)
+SELECT product_code, branch_code, CAST(sale_date AS VARCHAR) AS sale_date, quantity_sold, {he('price', 4)} AS price,
+  CAST(discount AS DOUBLE) AS discount,
+  concat_ws(' | ', day_of_week, is_weekend, day, month, week_of_year, is_salary_peak, seasonal, CAST(ev <> 'None' AS INTEGER)) AS calendar,
+  array_to_string(list_concat({_HOT.format('ev')}, {_HOT.format('se')}), ' | ') AS one_hot FROM f"""))
 def _(spark, d):
     out = dm.as_arrays(dm.encode_features(_features(spark, d)))
-    return out.select(*fc.PAIR, "sale_date", "quantity_sold", "features")
+    at = dm.BASE_FEATURES.index
+    # Prices first, discounts last of the numbers; between them whole numbers, after them one place per category.
+    return out.select(*fc.PAIR, "sale_date", "quantity_sold",
+                      half_even(F.get("features", F.lit(at("price"))), 4).alias("price"),
+                      F.get("features", F.lit(at("discount"))).alias("discount"),
+                      F.slice("features", 2, len(dm.BASE_FEATURES) - 2).cast("array<int>").alias("calendar"),
+                      F.slice("features", len(dm.BASE_FEATURES) + 1, F.size("features") - len(dm.BASE_FEATURES))
+                      .cast("array<int>").alias("one_hot"))
 
 
 @register("forecast_metrics")

@@ -156,9 +156,20 @@ SELECT {_ROW} FROM sales ORDER BY {_order.replace('sale_date', 'sales.sale_date'
         lambda spark, d, s=_name: rp.reduce_rows(_rows(spark, d), 1000, s, _KEYS))
 
 
-@register("reduce_sample")
+# Exact amounts, so that both engines write the hashed keys alike.
+_EXACT = "product_code, branch_code, sale_date, CAST(quantity_sold AS DECIMAL(18,2)) AS quantity_sold, revenue"
+
+
+@register("reduce_sample", with_ctes("sales", f"""
+, t AS (SELECT {_EXACT} FROM sales)
+SELECT product_code, branch_code, CAST(sale_date AS VARCHAR) AS sale_date, CAST(quantity_sold AS DOUBLE) AS quantity_sold,
+  CAST(revenue AS DOUBLE) AS revenue FROM t
+ORDER BY md5(concat_ws('|', product_code, branch_code, t.sale_date, t.quantity_sold, t.revenue, 42)), product_code, branch_code,
+  t.sale_date, t.quantity_sold, t.revenue LIMIT 1000"""))
 def _(spark, d):
-    return rp.reduce_rows(_rows(spark, d), 1000, "sample", _KEYS)
+    rows = fx.sales(spark, d).selectExpr(*_EXACT.split(", "))
+    return rp.reduce_rows(rows, 1000, "sample", _KEYS).withColumns(
+        {c: F.col(c).cast("double") for c in ("quantity_sold", "revenue")})
 
 
 @register("reduction_report", with_ctes("sales", f"""

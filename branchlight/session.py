@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +20,8 @@ def build_session(master: str | None = None, app: str = "branchlight", shuffle_p
          .config("spark.sql.ansi.enabled", "true")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if master:
         b = b.master(master)
@@ -45,7 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and read it back, so that later passes see the same rows
-    in the same partitions even when executors are lost in between."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as Parquet to the shared folder and read it back, so that later passes see the same rows even
+    when executors are lost in between. Unlike a checkpoint it runs ``df`` once, and later passes read only their columns."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
