@@ -26,7 +26,7 @@ PARAGRAPH_END = r"[\n\r]|\s(?<=[!-+\-./:-@\[-`{-~]\s)"
 _WIDE = (1 << 60) - 1
 _ONE = 1 | 1 << 15 | 1 << 30 | 1 << 45  # bit 0 of each 15-bit lane
 _HIGH = _ONE << 14
-#: Cells of equal width over the ids, and most buckets of neighbours.
+#: Cells of equally many ids (a power of two), and most buckets of neighbours.
 CELLS, MOST_BUCKETS = 1024, 1_000_000
 
 
@@ -96,25 +96,37 @@ def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
                           ).drop("_x", "_y")
 
 
-def id_buckets(docs: DataFrame, rows_each: int = 500) -> Column:
-    """An expression that numbers buckets of consecutive ids, ascending, of about ``rows_each`` rows; null ids have -1.
+def id_buckets(docs: DataFrame, tie: Column, rows_each: int = 500) -> Column:
+    """An expression that numbers buckets of consecutive rows (by id, then by descending ``tie``), of about ``rows_each`` rows.
 
-    Ids fall into CELLS cells of equal width, whose rows are counted, and a cell is cut evenly into as many buckets as
-    its rows need. The number of buckets is bounded whatever the number of rows.
+    Approximate quantiles of the ids bound CELLS cells of about equally many rows, however uneven the ids are, and each cell
+    is cut evenly. An id that fills cells by itself is spread over them by ``tie``, a hash, and so are null ids, whose
+    buckets are negative. The number of buckets is bounded whatever the number of rows.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    shares = [i / CELLS for i in range(1, CELLS)]
+    low, high, n, nulls, bounds = docs.agg(
+        F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count_if(F.col("doc_id").isNull()),
+        F.percentile_approx("doc_id", shares, 16 * CELLS)).first()
+    rows_each = max(rows_each, math.ceil((n + nulls) / (MOST_BUCKETS - 2 * CELLS)))
+    part = F.least(F.lit(1 - 1e-9), tie / F.lit(2.0 ** 64) + 0.5)
+    nameless = (F.floor(part * math.ceil(nulls / rows_each)) + 1) * -1
     if low is None:
-        return F.lit(-1).cast("long")
-    rows_each = max(rows_each, math.ceil(n / (MOST_BUCKETS - CELLS)))
-    width = (float(high) - float(low) + 1) / CELLS
-    at = (F.col("doc_id").cast("double") - float(low)) / width
-    cell = F.least(F.lit(CELLS - 1), F.floor(at)).cast("int")
-    counts = dict(docs.where("doc_id IS NOT NULL").groupBy(cell.alias("c")).count().collect())
-    cuts = [math.ceil(counts.get(c, 0) / rows_each) for c in range(CELLS)]
-    first = [sum(cuts[:c]) for c in range(CELLS)]
-    of = lambda values: F.element_at(F.array(*map(F.lit, values)), cell + 1)
-    part = F.least(of(cuts) - 1, F.floor((at - cell) * of(cuts)))
-    return F.coalesce((of(first) + part).cast("long"), F.lit(-1).cast("long"))
+        return nameless
+    inner = F.array(*map(F.lit, bounds))
+    edges = F.array(*[F.lit(float(x)) for x in (low, *bounds, high + 1)])
+
+    def reached(fits) -> Column:
+        """How many bounds fit, by halving steps."""
+        steps = F.array(*[F.lit(CELLS >> i) for i in range(1, CELLS.bit_length())])
+        return F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(fits(F.element_at(inner, at + s)), s).otherwise(0))
+
+    upto, below = (reached(fits) for fits in (lambda b: b <= F.col("doc_id"), lambda b: b < F.col("doc_id")))
+    start = F.element_at(edges, upto + 1)
+    inside = (F.col("doc_id").cast("double") - start) / F.greatest(F.lit(1.0), F.element_at(edges, upto + 2) - start)
+    place = F.when(upto - below < 2, upto + F.least(F.lit(1 - 1e-9), inside)).otherwise(
+        below + 1 + (1 - 1e-9 - part) * (upto - below - 1))
+    cuts = math.ceil(n / (CELLS * rows_each))
+    return F.when(F.col("doc_id").isNull(), nameless).otherwise(F.floor(place * cuts)).cast("long")
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -123,7 +135,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     Null ids come last, rows of the same id in the order of the first column's hash. Rows are ordered within buckets of
     consecutive ids; a bucket's first rows also go, as rows that are only looked at, to the bucket before it.
     """
-    bucket = id_buckets(docs)
+    bucket = id_buckets(docs, F.xxhash64(columns[0]))
     ids = docs.select("doc_id", bucket.alias("bucket"))
     # One row per bucket, and their number is bounded.
     down = Window.orderBy(F.desc("bucket"))

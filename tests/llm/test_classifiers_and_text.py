@@ -205,14 +205,23 @@ def test_fingerprints_and_edits(spark):
     assert only.near_next == 1 and only.edited_sha256 == hashlib.sha256((LONG[: len(LONG) - cut] + LONG[:cut]).encode()).hexdigest()
 
 
-def test_next_document_over_many_buckets(spark, monkeypatch):
-    ids = [3 * i * i for i in range(200)]
-    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, body string")
+@pytest.mark.parametrize("ids", [
+    [3 * i * i for i in range(200)], [*range(300), 2 ** 62], [7] * 200 + [None] * 200 + [10 ** 9 * i for i in range(200)],
+    [None] * 50, [-2 ** 63, 0, 0, 2 ** 63 - 1], [5]], ids=["squares", "outlier", "hot", "nameless", "ends", "one"])
+def test_next_document_over_many_buckets(spark, monkeypatch, ids):
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, body string")
     real = fingerprint.id_buckets
-    monkeypatch.setattr(fingerprint, "id_buckets", lambda d: real(d, 7))
-    down = sorted(ids, reverse=True)
-    got = {r.doc_id: r.next_body for r in fingerprint.with_next(docs, ["body"]).collect()}
-    assert got == {a: f"t{b}" for a, b in zip(down, down[1:] + down[:1])}
+    monkeypatch.setattr(fingerprint, "CELLS", 32)
+    monkeypatch.setattr(fingerprint, "id_buckets", lambda d, tie: real(d, tie, 7))
+    tie = {r.body: r.h for r in docs.select("body", F.xxhash64("body").alias("h")).collect()}
+    down = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    want = {a: b for (_, a), (_, b) in zip(down, down[1:] + down[:1])}
+    got = fingerprint.with_next(docs, ["body"]).collect()
+    assert len(got) == len(rows) and {r.body: r.next_body for r in got} == want
+    # No bucket holds a hot id or all null ids.
+    sizes = [r["count"] for r in docs.groupBy(fingerprint.id_buckets(docs, F.xxhash64("body"))).count().collect()]
+    assert max(sizes) <= 60
 
 
 def test_fingerprints_are_multisets(spark):
