@@ -6,9 +6,10 @@ of paragraphs doesn't matter and paragraphs are inserted or deleted by adding or
 
 * one counts paragraphs, modulo 2**60;
 * SUMS lanes add 60 bits of a hash modulo 2**60: equal sums mean equal multisets but for a vanishing chance;
-* 4 * 15 * SIGNS lanes of 15 bits, four to a long, add one bit of a hash modulo 2**15. Twice such a sum less the
+* 2 * SHIFTS * SIGNS lanes of 30 bits, two to a long, add one bit of a hash modulo 2**30. Twice such a sum less the
   count, taken as a signed number, is a sum of +1 and -1 per paragraph; over many lanes, products of two texts' numbers
-  estimate how many paragraphs they share.
+  estimate how many paragraphs they share. No such number wraps below 2**30 paragraphs, which take more bytes than a
+  string can hold; only fingerprints merged beyond that do.
 """
 
 from __future__ import annotations
@@ -21,17 +22,17 @@ from pyspark.sql import functions as F
 
 from .shared import small, written
 
-SUMS, SIGNS, SHIFTS = 4, 2, 15
+SUMS, SIGNS, SHIFTS = 4, 2, 30
 PARAGRAPH_END = r"[\n\r]|\s(?<=[!-+\-./:-@\[-`{-~]\s)"
 _WIDE = (1 << 60) - 1
-_ONE = 1 | 1 << 15 | 1 << 30 | 1 << 45  # bit 0 of each 15-bit lane
-_HIGH = _ONE << 14
+_ONE = 1 | 1 << SHIFTS  # bit 0 of each 30-bit lane
+_HIGH = _ONE << SHIFTS - 1
 #: Cells of equally many ids (a power of two), and most buckets of neighbours.
 CELLS, MOST_BUCKETS = 1024, 1_000_000
 
 
 def _add_lanes(a: Column, bits: Column) -> Column:
-    """Lane by lane ``a + bits`` modulo 2**15; no carry leaves its lane."""
+    """Lane by lane ``a + bits`` modulo 2**30; no carry leaves its lane."""
     return (a.bitwiseAND(F.lit(_WIDE ^ _HIGH)) + bits).bitwiseXOR(a.bitwiseAND(F.lit(_HIGH)))
 
 
@@ -78,11 +79,11 @@ def as_text(lanes: Column) -> Column:
 
 
 def _numbers(lanes: Column) -> Column:
-    """The signed numbers of the 15-bit lanes."""
+    """The signed numbers of the 30-bit lanes: twice a lane is known modulo 2**31."""
     count = F.element_at(lanes, 1)
     each = F.flatten(F.transform(F.slice(lanes, SUMS + 2, SIGNS * SHIFTS), lambda x: F.array(
-        *[F.shiftright(x, 15 * k).bitwiseAND(F.lit(0x7FFF)) for k in range(4)])))
-    half = 1 << 14
+        *[F.shiftright(x, SHIFTS * k).bitwiseAND(F.lit((1 << SHIFTS) - 1)) for k in range(2)])))
+    half = 1 << SHIFTS
     return F.transform(each, lambda v: (F.pmod(v * 2 - count + half, F.lit(2 * half)) - half).cast("double"))
 
 

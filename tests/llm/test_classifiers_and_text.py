@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -239,6 +240,20 @@ def test_fingerprints_are_multisets(spark):
     assert abs(fingerprint.likeness(near, "fx", "fy", "n").first().n - 2 / 3) < 0.2
 
 
+@pytest.mark.parametrize("n", [9_000, 20_000, 70_000])
+def test_likeness_of_many_equal_paragraphs(spark, n):
+    """``n`` equal pieces against two thirds of them and others: the lanes' sums don't wrap."""
+    x, y = "same\n" * n, "same\n" * (n - n // 3) + "other\n" * (n // 3)
+    near = fingerprint.with_fingerprint(fingerprint.with_fingerprint(
+        spark.createDataFrame([(x, y)], "x string, y string"), "x", "fx"), "y", "fy")
+    a = n - n // 3
+    lanes = [[(xxhash.xxh64_intdigest(p, seed) >> s & 1) * 2 - 1 for seed in (fingerprint.SUMS, fingerprint.SUMS + 1) for s in range(60)]
+             for p in (b"same", b"other")]
+    u, v = n * np.array(lanes[0]), a * np.array(lanes[0]) + (n - a) * np.array(lanes[1])
+    assert near.select(F.expr("fx[0]"), F.expr("fy[0]")).first()[:] == (n, n)
+    assert fingerprint.likeness(near, "fx", "fy", "n").first().n == pytest.approx(2 * (u @ v) / (u @ u + v @ v))
+
+
 def brute_segmentations(word, edges):
     if not word:
         return 1.0
