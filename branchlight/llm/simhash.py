@@ -121,22 +121,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs``, all columns, of each component's smallest doc_id; of rows that repeat an id, the first by text.
+    """One row of ``docs``, all columns, of each component: of its own rows the one of the smallest doc_id, null ids last.
 
-    Components without any id keep their row that is first by fingerprint and text.
+    Of rows that repeat that id, the first by text is taken. An id that occurs in several components may stay once for each.
     """
-    found = near_duplicates(docs, shingle, radius)
     # Rows travel as one column, so that their names can't clash with others.
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    first = _first_of(packed.join(kept, "id", "left_semi"), ["id"])
-    nameless = packed.where("id IS NULL").select("row", F.col("row.text").alias("text"))
-    if nameless.limit(1).count():
-        alone = written(found.where("component_id IS NULL").select("fp").distinct(), "nameless")
-        roots = similar_classes(alone, radius)
-        keyed = _with_print(nameless, shingle).join(roots, F.col("fp") == F.col("node")).select("row", "root")
-        first = first.unionByName(_first_of(keyed, ["root"]))
-    return first.select("row.*")
+    rows = written(_with_print(docs.select(F.struct("*").alias("row"), "text"), shingle), "printed-rows")
+    classes = written(rows.select("fp").distinct(), "row-classes")
+    roots = written(similar_classes(classes, radius), "row-roots")
+    return _first_of(rows.join(roots, F.col("fp") == F.col("node")).select("row", "root")).select("row.*")
 
 
 def _with_print(rows: DataFrame, shingle: int) -> DataFrame:
@@ -150,7 +143,7 @@ def _with_print(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, rows.select("row", F.lit(0).cast("long").alias("fp")).schema)
 
 
-def _first_of(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The ``row`` of each key that is first by text."""
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64("row.text"), "row.text")
+def _first_of(rows: DataFrame) -> DataFrame:
+    """The ``row`` of each ``root`` that is first by id and text; a task hands on only its own first row of a root."""
+    order = Window.partitionBy("root").orderBy(F.col("row.doc_id").cast("long").asc_nulls_last(), F.xxhash64("row.text"), "row.text")
     return rows.withColumn("n", F.row_number().over(order)).where("n = 1").select("row")

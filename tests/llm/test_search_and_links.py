@@ -192,6 +192,17 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.where("false")).collect() == [] == simhash.one_of_each(docs.where("false")).collect()
 
 
+def test_one_row_of_each_component(spark):
+    """Ids that repeat with different texts: every component keeps exactly one row, its own."""
+    texts = {n: " ".join(f"{n}{i}" for i in range(40)) for n in "abcd"}
+    rows = [(1, texts["a"], "s"), (5, texts["a"], "s"), (5, texts["b"], "s"), (9, texts["b"], "s"), (12, texts["b"], "s"),
+            (7, texts["c"], "s"), (7, texts["d"], "s"), (8, texts["d"], "s"), (None, texts["d"], "s")]
+    for order in (rows, [(i, {texts["a"]: texts["b"], texts["b"]: texts["a"]}.get(t, t), s) for i, t, s in rows]):
+        kept = simhash.one_of_each(documents(spark, order)).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == sorted({t: (i, t) for i, t, _ in sorted(
+            (r for r in order if r[0] is not None), key=lambda r: -r[0])}.values())
+
+
 def test_blocks_link_across_components(spark, monkeypatch):
     """Many fingerprints in one bucket that the first comparisons don't join."""
     monkeypatch.setattr(simhash, "BLOCK", 3)
