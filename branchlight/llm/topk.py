@@ -21,24 +21,53 @@ from .shared import shared_path, written
 
 BINS = 256
 _NONE = np.iinfo(np.int64).min
-#: Scaled components are kept within this, so that scores of up to 2**19 dimensions fit in a long.
-LIMIT = 1 << 21
 
 
 def scaled(vector: Column, scale: int = 1024) -> Column:
-    """Components as floor(scale * x), x as double."""
-    return F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-float(LIMIT)), F.least(
-        F.lit(float(LIMIT)), x.cast("double") * scale))))
+    """Components as floor(scale * x), x as double; whole numbers as doubles, which from 2**53 on are whole anyway."""
+    def one(x: Column) -> Column:
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < 2.0 ** 53, F.floor(y).cast("double")).otherwise(y)
+    return F.transform(vector, one)
 
 
 def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """Whole numbers held as doubles, modulo 2**64, as longs."""
+    rest = np.fmod(x, 2.0 ** 64)
+    rest = np.where(rest >= 2.0 ** 63, rest - 2.0 ** 64, rest)
+    return np.where(rest < -(2.0 ** 63), rest + 2.0 ** 64, rest).astype(np.int64)
+
+
+def inner_products(queries: np.ndarray, matrix: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Inner products, as longs, of rows of whole numbers held as doubles.
+
+    Those ``wanted`` are exact; OverflowError if one of them doesn't fit a long.
+    """
+    d = matrix.shape[1]
+    bound = float(d) * float(np.abs(queries).max(initial=0)) * float(np.abs(matrix).max(initial=0))
+    # Products and sums of these integers are exact below 2**53; above, integers are multiplied.
+    if bound < 2.0 ** 53:
+        return (queries @ matrix.T).astype(np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        # Long products are right modulo 2**64, so they are the score itself wherever that fits a long.
+        score = _modulo(queries) @ _modulo(matrix).T
+        if not bound < 2.0 ** 62:
+            near, error = queries @ matrix.T, np.abs(queries) @ np.abs(matrix).T * ((d + 2) * 2.0 ** -51)
+            for q, c in zip(*np.nonzero(wanted & ~(np.abs(near) + error < 2.0 ** 63))):
+                exact = sum(int(x) * int(y) for x, y in zip(queries[q].tolist(), matrix[c].tolist()))
+                if not -(1 << 63) <= exact < 1 << 63:
+                    raise OverflowError(f"the score {exact} doesn't fit a long")
+    return score
+
+
 class _Block:
     """A block of queries: ids and vectors by dimension, and for each query what is known of its k-th value."""
 
-    def __init__(self, rows: list[tuple[int, list[int]]]):
+    def __init__(self, rows: list[tuple[int, list[float]]]):
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for d in {len(r[1]) for r in rows}:
@@ -46,11 +75,14 @@ class _Block:
             self.by_dim[d] = at, np.array([rows[i][1] for i in at], np.float64).reshape(len(at), d)
 
     def scores(self, batches: Iterator[pa.RecordBatch], cells: int = 1 << 20):
-        """(query numbers, candidate ids, scores) of parts of at most about ``cells`` scores; a query's own row scores _NONE."""
+        """(query numbers, candidate ids, scores, which count) of parts of at most about ``cells`` scores.
+
+        A query's own row doesn't count and scores _NONE.
+        """
         for batch in batches:
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
             lists = batch.column("v")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
             size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             first = np.cumsum(size) - size
             for d, (at, queries) in self.by_dim.items():
@@ -59,13 +91,10 @@ class _Block:
                 for a in range(0, len(own), step):
                     some = own[a: a + step]
                     matrix = flat[first[some][:, None] + np.arange(d)]
-                    # Products and sums of these integers are exact below 2**53; above, integers are multiplied.
-                    if d * np.abs(queries).max(initial=0) * np.abs(matrix).max(initial=0) < 2.0 ** 53:
-                        score = (queries @ matrix.T).astype(np.int64)
-                    else:
-                        score = queries.astype(np.int64) @ matrix.astype(np.int64).T
-                    score[self.ids[at][:, None] == ids[some][None, :]] = _NONE
-                    yield at, ids[some], score
+                    real = self.ids[at][:, None] != ids[some][None, :]
+                    score = inner_products(queries, matrix, real)
+                    score[~real] = _NONE
+                    yield at, ids[some], score, real
 
 
 def _ranges(held: Broadcast, k: int):
@@ -73,10 +102,9 @@ def _ranges(held: Broadcast, k: int):
         block, n = held.value, len(held.value.ids)
         top, seen = np.full((n, k), _NONE), np.zeros(n, np.int64)
         low = np.full(n, np.iinfo(np.int64).max)
-        for at, _, score in block.scores(batches):
+        for at, _, score, real in block.scores(batches):
             both = np.concatenate([top[at], score], axis=1)
             top[at] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-            real = score != _NONE
             seen[at] += real.sum(1)
             low[at] = np.minimum(low[at], np.where(real, score, np.iinfo(np.int64).max).min(1))
         some = np.flatnonzero(seen)
@@ -87,14 +115,19 @@ def _ranges(held: Broadcast, k: int):
     return run, "q long, n long, low long, kth long, high long"
 
 
+def _gap(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """high - low, which may be more than a long holds."""
+    return (high - low).view(np.uint64)
+
+
 def _counts(held: Broadcast, low: np.ndarray, high: np.ndarray, width: np.ndarray):
     def run(batches):
         block, n = held.value, len(held.value.ids)
         total = np.zeros(n * BINS, np.int64)
-        for at, _, score in block.scores(batches):
-            bins = (score - low[at][:, None]) // width[at][:, None]
-            q, c = np.nonzero((score >= low[at][:, None]) & (score <= high[at][:, None]))
-            total += np.bincount(at[q] * BINS + bins[q, c], minlength=n * BINS)
+        for at, _, score, real in block.scores(batches):
+            q, c = np.nonzero((score >= low[at][:, None]) & (score <= high[at][:, None]) & real)
+            bins = _gap(low[at[q]], score[q, c]) // width[at[q]]
+            total += np.bincount(at[q] * BINS + bins.astype(np.int64), minlength=n * BINS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"q": pa.array(some // BINS, pa.int64()), "bin": pa.array(some % BINS, pa.int64()),
                                           "n": pa.array(total[some])})
@@ -106,12 +139,13 @@ def _winners(held: Broadcast, value: np.ndarray, missing: np.ndarray):
     def run(batches):
         block, n = held.value, len(held.value.ids)
         ties: list[np.ndarray] = [np.zeros(0, np.int64)] * n
-        for at, ids, score in block.scores(batches):
-            q, c = np.nonzero(score > np.maximum(value[at], _NONE)[:, None])
+        for at, ids, score, real in block.scores(batches):
+            q, c = np.nonzero(score > value[at][:, None])
             yield _rows(block.ids[at[q]], ids[c], score[q, c])
-            for i in np.flatnonzero((score == value[at][:, None]).any(1)):
+            same = (score == value[at][:, None]) & real
+            for i in np.flatnonzero(same.any(1)):
                 own = at[i]
-                found = np.concatenate([ties[own], ids[score[i] == value[own]]])
+                found = np.concatenate([ties[own], ids[same[i]]])
                 ties[own] = np.sort(found)[: missing[own]]
         for own in range(n):
             yield _rows(np.full(len(ties[own]), block.ids[own]), ties[own], np.full(len(ties[own]), value[own]))
@@ -124,7 +158,7 @@ def _rows(*columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _blocks(queries: DataFrame, size: int) -> Iterator[_Block]:
-    rows: list[tuple[int, list[int]]] = []
+    rows: list[tuple[int, list[float]]] = []
     for r in queries.select("vec_id", "v").toLocalIterator():
         rows.append((r.vec_id, r.v))
         if len(rows) == size:
@@ -140,7 +174,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block_rows: int = 2
     ``vectors`` has vec_id and embedding; ``is_query`` is an expression over vec_id. Candidates are all rows whose vec_id
     isn't the query's own and whose vector has as many components. Null vectors, vectors with null or non-finite components
     and null ids take no part; a query id that repeats counts once, with its largest vector; repeated candidates all
-    count. Fewer than k candidates are all returned. Other columns are not read. The driver and each task hold one block of ``block_rows``
+    count. Fewer than k candidates are all returned. Scores are exact; one that doesn't fit a long is an error, whatever its rank
+    (as it is in SQL). Other columns are not read. The driver and each task hold one block of ``block_rows``
     queries at a time.
     """
     spark = vectors.sparkSession
@@ -161,7 +196,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block_rows: int = 2
             # With fewer than k candidates in all, the lowest score is the last one wanted.
             low[r.q] = r.low if r.kth is None else r.kth
             high[r.q], need[r.q] = r.high, min(k, r.n)
-        width = np.maximum(1, -(-(high - low + 1) // BINS))
+        one = np.uint64(1)
+        width = np.where(high >= low, _gap(low, high) // np.uint64(BINS) + one, one)
         above = np.zeros(n, np.int64)  # scores over the range
         while n:
             run, kind = _counts(held, low, high, width)
@@ -171,11 +207,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block_rows: int = 2
             down = above[:, None] + np.cumsum(total[:, ::-1], axis=1)  # scores from the top down to each bin
             at = np.argmax(down >= need[:, None], axis=1)
             above = down[np.arange(n), at] - total[:, ::-1][np.arange(n), at]
-            low = low + (BINS - 1 - at) * width
-            high = np.minimum(high, low + width - 1)
+            low = low + ((BINS - 1 - at).astype(np.uint64) * width).view(np.int64)
+            high = low + np.minimum(_gap(low, high), width - one).view(np.int64)
             if (width == 1).all():
                 break
-            width = np.maximum(1, -(-width // BINS))
+            width = (width - one) // np.uint64(BINS) + one
         value, missing = np.where(need > 0, low, np.iinfo(np.int64).max), need - above
         run, kind = _winners(held, value, missing)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

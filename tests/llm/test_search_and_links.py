@@ -1,8 +1,10 @@
 """URL rules, mixing, top-k search, components, SimHash and the pipeline against brute force."""
 
+import math
 import os
 import sys
 from collections import Counter
+from fractions import Fraction
 from pathlib import Path
 
 import duckdb
@@ -124,6 +126,38 @@ def test_top_k(spark, block):
     assert topk.top_k(table.where("false"), F.col("vec_id") % 10 == 0).collect() == []
 
 
+@pytest.mark.parametrize("size", [5e3, 1e6, 2e15])
+def test_top_k_of_large_components(spark, size):
+    """Components are not clamped, and scores are exact up to the whole range of longs."""
+    rng = np.random.default_rng(7)
+    vectors = [(i, [float(x) for x in rng.normal(0, 1, 3)]) for i in range(60)]
+    # One large component; the others' are small where it is very large.
+    vectors += [(i, [float(x) for x in (size * rng.normal(), *rng.normal(0, 1, 2))]) for i in range(60, 80)]
+    if size > 1e9:
+        vectors = [(i, [x if i >= 60 else x / 1e3, y, z]) for i, (x, y, z) in vectors if i <= 60]
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [math.floor(Fraction(x) * 1024) for x in v] for i, v in vectors}
+    score = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b]))
+    asked = [i for i in whole if i % 20 == 0]
+    want = [(q, n + 1, c, -s) for q in asked for n, (s, c) in enumerate(sorted((-score(q, c), c) for c in whole if c != q)[:5])]
+    assert max(abs(score(a, b)) for a in asked for b in whole if a != b) > 2 ** 31 and max(abs(w[3]) for w in want) < 2 ** 63
+    assert sorted(map(tuple, topk.top_k(rows, F.col("vec_id") % 20 == 0, k=5).collect())) == sorted(want)
+
+
+def test_inner_products_at_the_ends_of_longs():
+    big = 2.0 ** 40
+    queries = np.array([[2.0 ** 31, 2.0 ** 31, 0.0], [big, -big, 1.0]])
+    matrix = np.array([[2.0 ** 31, 2.0 ** 31, 0.0], [-2.0 ** 31, -2.0 ** 31, 0.0], [2.0 ** 32, -2.0 ** 31, 5.0], [big, big, 7.0]])
+    whole = [[sum(int(x) * int(y) for x, y in zip(q, c)) for c in matrix.tolist()] for q in queries.tolist()]
+    fits = np.array([[-2 ** 63 <= x < 2 ** 63 for x in r] for r in whole])
+    assert whole[0][:2] == [2 ** 63, -2 ** 63] and whole[1][3] == 7 and not fits.all()
+    assert [x for r, f in zip(topk.inner_products(queries, matrix, fits).tolist(), fits) for x, y in zip(r, f) if y] == [
+        x for r, f in zip(whole, fits) for x, y in zip(r, f) if y]
+    for q, c in zip(*np.nonzero(~fits)):
+        with pytest.raises(OverflowError):
+            topk.inner_products(queries[[q]], matrix[[c]], np.array([[True]]))
+
+
 def roots_of(links):
     up = {}
 
