@@ -56,17 +56,19 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, chosen: Column, rows: int) -> DataFrame:
-    """(text, label) of at most ``rows`` labelled documents whose id satisfies ``chosen`` (an expression over doc_id).
+    """(doc_id, text, label) of at most ``rows`` labelled documents whose id satisfies ``chosen`` (an expression over doc_id).
 
-    The rows with the smallest hashes of their ids are taken, so the sample doesn't depend on partitions. Only ids are
-    ordered; texts are fetched by a join with the bounded id list.
+    The rows with the smallest hashes of their ids are taken, so the sample doesn't depend on partitions; of rows that
+    repeat an id, the first by the text's hash. Only ids are ordered; texts are fetched by a join with the bounded id list.
     """
     picked = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & chosen)
               .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
               .join(docs.select("doc_id"), "doc_id", "left_semi")
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    return (texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(first.alias("first"))
+            .select("doc_id", "first.text", "label"))
 
 
 def scored_texts(docs: DataFrame, model, scorer: Callable) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from branchlight.llm import fingerprint, lattice_lm, packing, quality, token_files, toxicity
-from branchlight.llm.shared import remainder
+from branchlight.llm.shared import labelled_sample, remainder
 from branchlight.llm.tokens import ChunkEncoder
 
 WORD, BYTE, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -53,6 +53,17 @@ def test_toxicity_learns_and_holds_out(spark):
     assert kept == {i for i, r in found.items() if r.score < 0.3}
 
 
+def test_labelled_sample_is_bounded_in_rows(spark):
+    """Ids that many rows repeat are learned from once, by the first text."""
+    rows = [(1, f"t{i}") for i in range(200)] + [(2, "one"), (2, None), (3, "three")]
+    labels = spark.createDataFrame([(i, 1, i % 2, None) for i in (1, 2, 3)], LABELS)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {r.text: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()}
+    want = {(i, min((t or "" for k, t in rows if k == i), key=hashes.get), i % 2) for i in (1, 2, 3)}
+    got = [tuple(r) for r in labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect()]
+    assert len(got) == 3 and set(got) == want
+
+
 @pytest.mark.parametrize("score", [toxicity.score_toxicity, quality.score_quality])
 def test_classifiers_on_odd_rows(spark, score):
     labels = spark.createDataFrame([(1, 1, 1, "x"), (4, 0, 0, "x"), (5, None, 7, None), (8, 1, 0, None)], LABELS)
