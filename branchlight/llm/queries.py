@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, lattice_lm, mixing, packing, quality, simhash, token_files, topk, toxicity, url_rules
+from . import exact_dedup, fingerprint, lattice_lm, lexical, mixing, packing, quality, simhash, token_files, topk, toxicity, url_rules
 from .shared import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,6 +155,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "train_tokens", "base_score", "score")
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+         r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@register("op11_lexical", f"""
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS terms FROM documents),
+c AS (SELECT count(*) AS total_docs, sum(len(terms))::BIGINT AS total_terms FROM d WHERE len(terms) > 0),
+f AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM d) GROUP BY d, term),
+w AS (
+  SELECT term, floor(1000 * ln((2 * total_docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c),
+q AS (
+  SELECT i, item_id, term, count(*) AS many FROM (
+    SELECT i, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS terms FROM benchmark))
+  GROUP BY i, item_id, term),
+s AS (
+  SELECT i, item_id, d, doc_id, sum(many * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM (SELECT *, 100 - 75 + ((75 * len(terms) * total_docs) // total_terms) AS m FROM d, c WHERE len(terms) > 0)
+  JOIN f USING (d) JOIN w USING (term) JOIN q USING (term) GROUP BY i, item_id, d, doc_id)
+SELECT * FROM (
+  SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM s WHERE score > 0)
+WHERE rank <= 10""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 @register("op12_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
