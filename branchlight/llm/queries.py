@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, lattice_lm, lexical, mixing, packing, quality, simhash, token_files, topk, toxicity, url_rules
+from . import exact_dedup, fingerprint, lattice_lm, lexical, mixing, packing, quality, simhash, token_files, topk, toxicity, url_rules, whitening
 from .shared import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,9 @@ FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTU
              AS text_sha256 FROM documents)""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"), most=32).withColumn(
+        "deviation", F.col("deviation").cast("long"))
