@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
 from ..operators import batches, monitor, oplog, versions
-from ..streaming import alerts as s_alerts, operations as s_ops
-from ..streaming.run import drain, drain_windows
+from ..streaming import alerts as s_alerts, concurrency as s_conc, operations as s_ops, ordered
+from ..streaming.run import drain, drain_to_the_end, drain_windows, shared_folder
 from . import fixtures as fx
 from .fixtures import AS_OF, with_ctes
 from .q_inventory import _BANDS
@@ -301,10 +301,13 @@ def _(spark, d):
 
 # --- monitoring -----------------------------------------------------------------------------------
 
-@register("rate_violations", """
+_RATE = """
 SELECT e.user_id::VARCHAR AS username, CAST(e.ts AS VARCHAR) AS ts, count(*) AS requests
 FROM events e JOIN events p ON p.user_id = e.user_id AND p.ts > e.ts - INTERVAL 1 HOUR AND p.ts <= e.ts
-GROUP BY e.event_id, e.user_id, e.ts HAVING count(*) > 2""")
+GROUP BY e.event_id, e.user_id, e.ts HAVING count(*) > 2"""
+
+
+@register("rate_violations", _RATE)
 def _(spark, d):
     return monitor.rate_violations(fx.query_log(spark, d), 2, 3600)
 
@@ -317,11 +320,14 @@ def _(spark, d):
     return monitor.rate_windows(fx.query_log(spark, d), 2, "1 hour")
 
 
-@register("concurrency_peaks", with_ctes("ops", """
+_PEAKS = with_ctes("ops", """
 , e AS (SELECT started AS t, 1 AS step FROM ops UNION ALL SELECT finished, -1 FROM ops),
 n AS (SELECT t, sum(step) AS step FROM e GROUP BY 1),
 r AS (SELECT t, CAST(sum(step) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS active FROM n)
-SELECT CAST(t AS VARCHAR) AS moment, active FROM r WHERE active >= 3"""))
+SELECT CAST(t AS VARCHAR) AS moment, active FROM r WHERE active >= 3""")
+
+
+@register("concurrency_peaks", _PEAKS)
 def _(spark, d):
     return monitor.concurrency_peaks(fx.ops(spark, d), 3)
 
@@ -345,11 +351,14 @@ def _(spark, d):
     return monitor.resource_alerts(readings)
 
 
-@register("alert_suppression", """
+_SUPPRESSED = """
 WITH RECURSIVE r AS (SELECT event_type, min(ts) AS ts FROM events GROUP BY 1
   UNION ALL SELECT r.event_type, min(e.ts) FROM r JOIN events e ON e.event_type = r.event_type AND e.ts >= r.ts + INTERVAL 5 MINUTE
   GROUP BY r.event_type, r.ts)
-SELECT event_type AS alert_type, CAST(ts AS VARCHAR) AS emitted_at FROM r""")
+SELECT event_type AS alert_type, CAST(ts AS VARCHAR) AS emitted_at FROM r"""
+
+
+@register("alert_suppression", _SUPPRESSED)
 def _(spark, d):
     return monitor.suppress_repeat_alerts(fx.raw(spark, d, "events"), 300, chunk_seconds=21_600, kind="event_type")
 
@@ -386,17 +395,57 @@ def _(spark, d):
                             "average_processing_time_ms": half_even(F.col("average_processing_time_ms"), 4)})
 
 
-@register("stream_rate_violations", """
+@register("stream_rate_windows", """
 SELECT CAST(user_id AS VARCHAR) AS username, CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start,
   CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR AS VARCHAR) AS window_end, count(*) AS requests
 FROM events GROUP BY user_id, date_trunc('hour', ts)
 HAVING count(*) > 2""")
 def _(spark, d):
     rows = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("username"), "ts")
-    out = drain_windows(s_ops.stream_rate_violations(rows, 2, "1 hour", "1 hour"))
+    out = drain_windows(s_ops.stream_rate_windows(rows, 2, "1 hour", "1 hour"))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
+@register("stream_rate_violations", _RATE)
+def _(spark, d):
+    rows = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("username"), "ts")
+    out = drain_to_the_end(rows, lambda r: ordered.stream_rate_violations(r, 2, 3600, slot_seconds=60), "ts")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("stream_alert_suppression", _SUPPRESSED)
+def _(spark, d):
+    rows = _stream(spark, d, "events").select("event_type", "ts")
+    out = drain_to_the_end(rows, lambda r: ordered.stream_suppress_repeats(r, 300, kind="event_type", slot_seconds=300), "ts")
+    return out.withColumn("emitted_at", F.col("emitted_at").cast("timestamp_ntz"))
+
+
+@register("stream_expirations", """
+SELECT CAST(user_id AS VARCHAR) AS username, CAST(ts AS VARCHAR) AS ts, CAST(ts + INTERVAL 6 HOUR AS VARCHAR) AS expired_at
+FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS renewed FROM (SELECT DISTINCT user_id, ts FROM events))
+WHERE renewed IS NULL OR renewed > ts + INTERVAL 6 HOUR""")
+def _(spark, d):
+    rows = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("username"), "ts")
+    out = drain_to_the_end(rows, lambda r: ordered.stream_expirations(r, ["username"], 6 * 3600), "ts")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "expired_at")})
+
+
+@register("stream_concurrency_peaks", _PEAKS)
+def _(spark, d):
+    length = F.expr("make_dt_interval(0, 0, 0, cast(value as decimal(18,6)))")
+    edges = _stream(spark, d, "events").select(F.explode(F.array(
+        F.struct(F.col("ts").cast("timestamp").alias("at"), F.lit(1).alias("step")),
+        F.struct((F.col("ts") + length).cast("timestamp").alias("at"), F.lit(-1).alias("step")))).alias("e")).select("e.*")
+    target = shared_folder(spark, "peaks")
+
+    def run(rows, folder):
+        s_conc.stream_concurrency_peaks(rows, target, f"{folder}/state", 3, slot="1 hour").awaitTermination()
+        return s_conc.read_peaks(spark, target)
+
+    out = drain_to_the_end(edges, lambda r: r, "at", run=run)
+    return out.withColumn("moment", F.col("moment").cast("timestamp_ntz"))
+
+
 # --- user functions -------------------------------------------------------------------------------
 
 def _chunk_total(chunk):

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.alerts import alert_rows
 from ..operators.monitor import resource_alerts
+from .ordered import stream_suppress_repeats
+
+__all__ = ["stream_resource_alerts", "stream_stock_alerts", "stream_suppress_repeats"]
 
 
 def stream_stock_alerts(stock: DataFrame, as_of: str | None = None) -> DataFrame:
@@ -20,35 +18,3 @@ def stream_stock_alerts(stock: DataFrame, as_of: str | None = None) -> DataFrame
 
 def stream_resource_alerts(readings: DataFrame, percent: float = 90, memory_mb: float = 1000) -> DataFrame:
     return resource_alerts(readings, percent, memory_mb)
-
-
-def stream_suppress_repeats(alerts: DataFrame, quiet_seconds: int = 300, ts: str = "ts", kind: str = "alert_type",
-                            watermark: str = "10 minutes", forget_seconds: int = 86_400) -> DataFrame:
-    """Emit an alert only when the last emitted one of its type is at least the quiet time old.
-
-    The state per type is one time. Rows are decided in time order within a trigger; state of a type that stays
-    silent is dropped ``forget_seconds`` after its last emission, when it can no longer suppress anything."""
-    quiet = pd.Timedelta(seconds=quiet_seconds)
-
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        out = []
-        for at in pd.concat([f["_at"] for f in frames]).sort_values():
-            if last is None or at >= last + quiet:
-                out.append(at)
-                last = at
-        if last is not None:
-            state.update((int(last.value // 1000) if last.unit == "ns" else int(last.as_unit("us").value),))
-            mark = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), mark) + forget_seconds * 1000)
-        if out:
-            yield pd.DataFrame({"alert_type": key[0], "emitted_at": out})
-
-    rows = alerts.select(F.col(kind).alias("alert_type"), F.col(ts).cast("timestamp").alias("_at")) \
-        .withWatermark("_at", watermark)
-    return rows.groupBy("alert_type").applyInPandasWithState(
-        decide, "alert_type string, emitted_at timestamp", "last_us long", "append",
-        GroupStateTimeout.EventTimeTimeout)

@@ -25,9 +25,10 @@ def stream_upload_stats(log: DataFrame, window: str = "1 hour", ts: str = "times
         F.col("_w.start").alias("window_start"), "successful", "failed", "average_processing_time_ms")
 
 
-def stream_rate_violations(requests: DataFrame, most: int = 10, window: str = "1 minute", slide: str = "10 seconds",
-                           ts: str = "ts", user: str = "username") -> DataFrame:
-    """(user, sliding window) pairs with more than ``most`` requests."""
+def stream_rate_windows(requests: DataFrame, most: int = 10, window: str = "1 minute", slide: str = "10 seconds",
+                        ts: str = "ts", user: str = "username") -> DataFrame:
+    """(user, sliding window) pairs with more than ``most`` requests: fixed windows, for a rough and cheap limit.
+    ``ordered.stream_rate_violations`` is the exact trailing rule."""
     rows = requests.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", WATERMARK)
     counts = rows.groupBy(user, F.window("_ts", window, slide).alias("_w")).agg(F.count(F.lit(1)).alias("requests"))
     return counts.filter(F.col("requests") > most).select(
@@ -74,12 +75,12 @@ def stream_stuck_operations(events: DataFrame, limit_seconds: int = 600, ts: str
         GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_expire(records: DataFrame, ttl: str = "30 days", ts: str = "ts", as_of: str | None = None) -> DataFrame:
-    """Records whose own lifetime hasn't ended at ``as_of`` (without one, at the time of each trigger).
+def stream_expire(records: DataFrame, ttl: str, as_of: str, ts: str = "ts") -> DataFrame:
+    """Records whose own lifetime hasn't ended at ``as_of``; a replay gives the same rows.
 
-    Every record expires by its own time; a newer version of a key doesn't depend on an older one."""
-    now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
-    return records.filter(F.col(ts).cast("timestamp") + F.expr(f"INTERVAL {ttl}") > now)
+    Every record expires by its own time; a newer version of a key doesn't depend on an older one.
+    ``ordered.stream_expirations`` follows keys through their versions by event time."""
+    return records.filter(F.col(ts).cast("timestamp") + F.expr(f"INTERVAL {ttl}") > F.lit(as_of).cast("timestamp"))
 
 
 def upsert_stream(changes: DataFrame, target: str, keys: list[str], version: str, state: str):

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+#: The time of the row that closes a replayed log, within the range of nanosecond clocks.
+CLOSING = "2250-01-01 00:00:00"
+
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the checkpoint folder every executor can reach."""
@@ -39,3 +44,29 @@ def drain_windows(stream: DataFrame, folder: str | None = None) -> DataFrame:
              .trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep the state of streams that start from now on in RocksDB, which map state and timers need. A stream that goes on from
+    a checkpoint keeps the provider it has."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+
+
+def drain_to_the_end(rows: DataFrame, rule: Callable[[DataFrame], DataFrame], ts: str, folder: str | None = None,
+                     run: Callable[[DataFrame, str], DataFrame] = drain) -> DataFrame:
+    """Replay a finished log through an event-time ``rule`` and read all it gives, also for the rows at the log's end.
+
+    Such a rule decides a row when the watermark has passed it. After the log a second run on the same checkpoint reads a
+    closing row, null but for a time far ahead, which moves the watermark past everything and is never decided itself.
+    ``run`` processes what is available of the ruled stream, with its checkpoint in the folder, and returns all results so far."""
+    spark = rows.sparkSession
+    folder = folder or shared_folder(spark, "stream")
+    spark.createDataFrame([], rows.schema).write.parquet(f"{folder}/closing")
+    out = rule(rows.unionByName(spark.readStream.schema(rows.schema).parquet(f"{folder}/closing")))
+    run(out, folder)
+    end = {f.name: F.lit(CLOSING if f.name == ts else None).cast(f.dataType).alias(f.name) for f in rows.schema}
+    spark.range(1).select(*end.values()).write.mode("append").parquet(f"{folder}/closing")
+    return run(out, folder)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from branchlight.operators import batches, monitor, oplog, versions
 from branchlight.streaming import alerts as sa, operations as so
-from branchlight.streaming.run import drain, shared_folder
+from branchlight.streaming.run import drain, drain_to_the_end, shared_folder
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -65,7 +65,7 @@ def stream(spark, folder, schema):
 def test_streamed_suppression_equals_the_stored_one(spark):
     _, df = alert_log(spark)
     folder = files(spark, df, by_time(df, "ts", [9_000, 18_000]))
-    got = drain(sa.stream_suppress_repeats(stream(spark, folder, df.schema), 300))
+    got = drain_to_the_end(stream(spark, folder, df.schema), lambda rows: sa.stream_suppress_repeats(rows, 300), "ts")
     want = monitor.suppress_repeat_alerts(df, 300)
     assert sorted((r.alert_type, r.emitted_at.replace(tzinfo=None)) for r in got.select(
         "alert_type", F.col("emitted_at").cast("timestamp_ntz").alias("emitted_at")).collect()) == sorted(
