@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,6 +214,30 @@ def purge_expired(df: DataFrame, policy: RetentionPolicy, as_of: str, ts: str =
     return df if not policy.auto_delete else df.filter(~expired(df, policy, as_of, ts))
 
 
+def purge_table(spark: SparkSession, path: str, policy: RetentionPolicy, as_of: str, archive: str, ts: str = "ts",
+                month: str = "month") -> None:
+    """Delete what ``purge_expired`` drops from a stored table (``sources.tables``) that is partitioned by ``month`` (yyyy-MM of
+    ``ts``), and remove it from the disk.
+
+    Months before the one in which the policy's time ends are dropped unread and later ones left alone; only the month in
+    between is written anew. Where the policy says so, the rows go to ``archive`` first. A policy without automatic
+    deletion changes nothing. Rows with an expiry of their own are looked for in every month."""
+    from ..sources import tables
+
+    if not policy.auto_delete:
+        return
+    end = (datetime.fromisoformat(as_of) - timedelta(days=policy.retention_days)).strftime("%Y-%m")
+    rows = tables.read(spark, path, tables.version(spark, path))
+
+    def whole(values: dict) -> bool | None:
+        if "expires_at" in rows.columns or values[month] == end:
+            return None
+        return values[month] is not None and values[month] < end
+
+    tables.delete_rows(spark, path, expired(rows, policy, as_of, ts), whole, archive if policy.archive_before_delete else None)
+    tables.vacuum(spark, path)
+
+
 def retention_report(tables: Mapping[str, DataFrame], policies: Sequence[RetentionPolicy], as_of: str,
                      ts: str = "ts") -> DataFrame:
     """Total and expired rows per policy; a policy without a table reports none."""

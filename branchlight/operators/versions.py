@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,18 @@ def drop_branch(df: DataFrame, owner: str, branch: str | None = None, owner_colu
     return df.filter(~F.coalesce(hit, F.lit(False)))
 
 
+def delete_branch(spark: SparkSession, path: str, owner: str, branch: str | None = None, owner_column: str = "username",
+                  branch_column: str = "branch_name") -> None:
+    """Delete one branch (or everything) of an owner from a stored table (``sources.tables``) that is partitioned by both columns.
+
+    The branch's folders leave the table in one commit and then the disk; no row is read, and no other folder touched."""
+    from ..sources import tables
+
+    tables.drop_parts(spark, path, lambda values: values[owner_column] == owner
+                      and (branch is None or values[branch_column] == branch))
+    tables.vacuum(spark, path)
+
+
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """Insert or replace by key: the highest version wins, a change beats a base row of equal version."""
     both = base.withColumn("_side", F.lit(0)).unionByName(changes.withColumn("_side", F.lit(1)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
 from ..operators import batches, monitor, oplog, versions
+from ..sources import tables
 from ..streaming import alerts as s_alerts, concurrency as s_conc, operations as s_ops, ordered
 from ..streaming.run import drain, drain_to_the_end, drain_windows, shared_folder
 from . import fixtures as fx
@@ -507,12 +508,33 @@ def _(spark, d):
                                     e.filter("event_type <> 'view'").select("event_id", "user_id", "event_type")])
 
 
-@register("branch_deleted", with_ctes("uploads", f"""
-SELECT {_UP} FROM uploads WHERE NOT (username = '17' AND branch_name = 'view')"""))
+_DELETED = with_ctes("uploads", f"""
+SELECT {_UP} FROM uploads WHERE NOT (username = '17' AND branch_name = 'view')""")
+
+
+@register("branch_deleted", _DELETED)
 def _(spark, d):
     return versions.drop_branch(fx.uploads(spark, d), "17", "view").drop("module")
 
 
+@register("branch_deleted_table", _DELETED)
+def _(spark, d):
+    path = shared_folder(spark, "uploads")
+    tables.create(fx.uploads(spark, d).drop("module"), path, ["username", "branch_name"])
+    versions.delete_branch(spark, path, "17", "view")
+    return tables.read(spark, path, tables.version(spark, path))
+
+
+@register("stream_upsert_latest", """
+SELECT user_id, event_type, CAST(ts AS VARCHAR) AS ts, event_id, value FROM
+  (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1""")
+def _(spark, d):
+    rows = _stream(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    target = shared_folder(spark, "latest")
+    s_ops.upsert_stream(rows, target, ["user_id", "event_type"], "ts", f"{target}-state", buckets=16).awaitTermination()
+    return s_ops.read_generation(spark, target, max(s_ops.generations(spark, target)))
+
+
 @register("upsert_latest", """
 WITH v AS (SELECT user_id, event_type, ts, event_id, value, CASE WHEN value > 50 THEN 1 ELSE 0 END AS side FROM events)
 SELECT user_id, event_type, CAST(ts AS VARCHAR) AS ts, event_id, value FROM

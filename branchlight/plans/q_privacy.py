@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import privacy as PV, questions as Q
 from ..functions.numeric import half_even
 from ..operators import privacy as op
+from ..sources import tables
+from ..streaming.run import shared_folder
 from . import fixtures as fx
 from .fixtures import AS_OF, with_ctes
 from .registry import he, register
@@ -313,3 +315,13 @@ def _(spark, d):
     kept = op.purge_expired(e, _POLICIES[0], AS_OF).select(F.lit("query_history").alias("data_type"), F.col("event_id").alias("id"))
     never = op.purge_expired(e.filter("event_type = 'signup'"), _POLICIES[2], AS_OF)
     return kept.unionAll(never.select(F.lit("user_consent"), "event_id"))
+
+
+@register("retention_purged_table", f"""
+SELECT event_id, event_type, CAST(ts AS VARCHAR) AS ts FROM events WHERE NOT ts < TIMESTAMP '{AS_OF}' - INTERVAL 5 DAY""")
+def _(spark, d):
+    path = shared_folder(spark, "history")
+    rows = fx.raw(spark, d, "events").select("event_id", "event_type", "ts", F.date_format("ts", "yyyy-MM").alias("month"))
+    tables.create(rows, path, ["month"])
+    op.purge_table(spark, path, _POLICIES[0], AS_OF, f"{path}-archive")
+    return tables.read(spark, path, tables.version(spark, path)).drop("month")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import tables
+
 WATERMARK = "10 minutes"
 
 
@@ -83,43 +85,55 @@ def stream_expire(records: DataFrame, ttl: str, as_of: str, ts: str = "ts") -> D
     return records.filter(F.col(ts).cast("timestamp") + F.expr(f"INTERVAL {ttl}") > F.lit(as_of).cast("timestamp"))
 
 
-def upsert_stream(changes: DataFrame, target: str, keys: list[str], version: str, state: str):
-    """Keep ``target`` at the newest version of every key. Each trigger writes a new generation folder from the
-    newest complete one, whoever wrote that, so a lost executor or a repeated batch never leaves a half-written table.
-
-    A generation notes stream and batch in its folder names; a batch that is repeated finds its own generation and is
-    not merged again. Nothing that is already in ``target`` is overwritten."""
-    from ..operators.versions import latest_per_key, upsert
+def upsert_stream(changes: DataFrame, target: str, keys: list[str], version: str, state: str, buckets: int = 64):
+    """Keep ``target`` at the newest version of every key. Each trigger writes only the key buckets that it touches and commits
+    them as a new version of the table (``sources.tables``), so a lost executor never leaves a half-written one.
 
+    A version notes stream and batch; a batch that is repeated finds its note and changes nothing. Two streams may write to
+    one target: the one that finds its version taken starts again from the newest. A target that holds whole generations
+    instead is taken over from the newest complete one, which stays as it is."""
     name = hashlib.sha256(state.encode()).hexdigest()[:16]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = generations(spark, target)
-        if any(source == (name, batch_id) for source in done.values()):
-            return
-        newest = latest_per_key(batch, keys, [version])
-        last = max(done, default=-1)
-        merged = newest if last < 0 else upsert(read_generation(spark, target, last), newest, keys, version)
-        merged.write.mode("overwrite").parquet(f"{target}/generation={last + 1}/stream={name}/batch={batch_id}")
+
+        def first():
+            whole = max(_whole_generations(spark, target), default=-1)
+            return whole, read_generation(spark, target, whole)
+
+        for tries in range(10):
+            try:
+                tables.upsert(batch, target, keys, version, buckets, stream=name, batch=batch_id, first=first)
+                return
+            except tables.ConcurrentChange:
+                if tries == 9:
+                    raise
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
-def generations(spark, target: str) -> dict[int, tuple[str, int] | None]:
-    """The complete generations of ``target`` with the stream and batch that wrote each, if a stream did."""
+def _whole_generations(spark, target: str) -> list[int]:
+    """Complete generations that were written as whole folders."""
     root = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    out: dict[int, tuple[str, int] | None] = {}
-    for pattern in ("generation=*/_SUCCESS", "generation=*/stream=*/batch=*/_SUCCESS"):
-        for found in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, pattern)) or []:
-            parts = dict(p.split("=", 1) for p in found.getPath().toString().split("/") if p.count("=") == 1)
-            out[int(parts["generation"])] = (parts["stream"], int(parts["batch"])) if "stream" in parts else None
+    found = [f for pattern in ("generation=*/_SUCCESS", "generation=*/stream=*/batch=*/_SUCCESS")
+             for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, pattern)) or []]
+    return sorted(int(f.getPath().toString().split("/generation=", 1)[1].split("/")[0]) for f in found)
+
+
+def generations(spark, target: str) -> dict[int, tuple[str, int] | None]:
+    """The versions of ``target`` with the stream and batch that wrote each, if a stream did."""
+    out: dict[int, tuple[str, int] | None] = dict.fromkeys(_whole_generations(spark, target))
+    for n in tables.numbers(spark, target):
+        writer = tables.version(spark, target, n).writer
+        out[n] = tuple(writer) if writer else None
     return out
 
 
 def read_generation(spark, target: str, generation: int) -> DataFrame | None:
-    """The rows of one generation; None before the first."""
+    """The rows of one version; None before the first."""
     if generation < 0:
         return None
+    if tables.number_taken(spark, target, generation):
+        return tables.read(spark, target, tables.version(spark, target, generation)).drop("_bucket")
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{target}/generation={generation}")
