@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even, number_or_zero
+from ..session import staged
 
 
 def _sold(sales: DataFrame) -> Column:
@@ -24,23 +25,33 @@ def inactive_products(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     return top.join(sold, "product_code", "left_anti").select("product_code")
 
 
+def top_stock() -> Column:
+    """A product's highest stock over all branches, beside each of its rows. Rows without a product are spread."""
+    product = F.coalesce("product_code", F.concat(F.lit("\0"), F.spark_partition_id()))
+    return F.max(number_or_zero(F.col("Last_on_hand"))).over(Window.partitionBy(product))
+
+
 def drop_inactive_inventory(sales: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Stock rows of active products. With no sales at all nothing is dropped."""
-    idle = inactive_products(sales, inventory)
-    return (inventory.join(idle.withColumn("_idle", F.lit(True)), "product_code", "left")
-            .filter(F.col("_idle").isNull() | ~sales.exists())
+    """Stock rows of active products. With no sales at all nothing is dropped.
+
+    Sales are brought to one row per product, which is written: both the test of each product and that of "any sales" read it."""
+    products = staged(sales.groupBy("product_code").agg(F.max(_sold(sales)).alias("_sold")))
+    sold = products.filter("_sold").select("product_code", "_sold")
+    return (inventory.withColumn("_top", top_stock()).join(sold, "product_code", "left")
+            .filter(F.col("product_code").isNull() | (F.col("_top") != 0) | F.col("_sold").isNotNull() | ~products.exists())
             .select(*inventory.columns))
 
 
 def drop_inactive_sales(sales: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Sales rows of active products that have a stock row; an empty inventory drops nothing."""
-    top = (inventory.filter("product_code IS NOT NULL").groupBy("product_code")
-           .agg(F.max(number_or_zero(F.col("Last_on_hand"))).alias("_top")))
+    """Sales rows of active products that have a stock row; an empty inventory drops nothing.
+
+    Stock is brought to one row per product, which is written and read by both tests."""
+    top = staged(inventory.groupBy("product_code").agg(F.max(number_or_zero(F.col("Last_on_hand"))).alias("_top")))
     sold = sales.filter(_sold(sales)).select("product_code").distinct().withColumn("_sold", F.lit(True))
-    active = (top.join(sold, "product_code", "left")
+    active = (top.filter("product_code IS NOT NULL").join(sold, "product_code", "left")
               .filter("_top <> 0 OR _sold").select("product_code").withColumn("_ok", F.lit(True)))
     return (sales.join(active, "product_code", "left")
-            .filter(F.col("_ok").isNotNull() | ~inventory.exists())
+            .filter(F.col("_ok").isNotNull() | ~top.exists())
             .select(*sales.columns))
 
 

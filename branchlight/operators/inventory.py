@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import stock as S
 from ..functions.numeric import half_even, number_or_zero, ratio
 from ..params import AnalysisParams
+from ..session import staged
+from .activity import top_stock
 from .clean import missing_columns
 from .scan import running
 
@@ -17,7 +19,11 @@ OPTIONAL_TEXT = ("item_category1", "item_category2", "supplier_name")
 
 def product_sales_stats(sales: DataFrame) -> DataFrame:
     """Per product: quantity sum, mean and count, first and last sale, days spanned and rate per day."""
-    agg = (sales.filter("product_code IS NOT NULL").groupBy("product_code").agg(
+    return _sales_stats(sales.filter("product_code IS NOT NULL"))
+
+
+def _sales_stats(sales: DataFrame) -> DataFrame:
+    agg = (sales.groupBy("product_code").agg(
         half_even(F.sum("quantity_sold"), 2).alias("quantity_sold_sum"),
         half_even(F.avg("quantity_sold"), 2).alias("quantity_sold_mean"),
         F.count("quantity_sold").alias("quantity_sold_count"),
@@ -38,23 +44,19 @@ def analyze_inventory(sales: DataFrame, inventory: DataFrame, params: AnalysisPa
                       ordered: bool = True) -> DataFrame:
     """One row per stock row with coverage, demand, order quantity, status, ABC grade and advice.
 
-    Sales enter only as one row per product, so the inactive filter is a test on those rows: no row-level
-    anti-join of the sales table is planned.
+    Sales enter only as one row per product, written once: the inactive filter and the test whether there are sales at all
+    (without any, nothing is filtered) read those rows. Stock rows are read once and shuffled once, by product.
     """
     gaps = (missing_columns(sales, ["product_code", "quantity_sold", "sale_date"]),
             missing_columns(inventory, ["product_code", "Last_on_hand"]))
     if any(gaps):
         raise ValueError(f"missing sales columns {gaps[0]}, missing inventory columns {gaps[1]}")
     p = params
-    stats = product_sales_stats(sales)
-    top = (inventory.filter("product_code IS NOT NULL").groupBy("product_code")
-           .agg(F.max(number_or_zero(F.col("Last_on_hand"))).alias("_top_stock")))
-    # Left side has every product in stock; the test below is the inactive rule of operators.activity.
-    rates = (top.join(stats, "product_code", "left")
-             .withColumn("_idle", (F.col("_top_stock") == 0) & (F.coalesce("_top_sale", F.lit(0.0)) <= 0)))
-    active = ~F.coalesce("_idle", F.lit(False))
-    rows = (inventory.select(*_branch_columns(inventory)).join(rates, "product_code", "left")
-            .filter(active | ~sales.exists()))
+    products = staged(_sales_stats(sales))
+    # The inactive rule of operators.activity.
+    idle = F.col("product_code").isNotNull() & (F.col("_top_stock") == 0) & (F.coalesce("_top_sale", F.lit(0.0)) <= 0)
+    rows = (inventory.select(*_branch_columns(inventory)).withColumn("_top_stock", top_stock())
+            .join(products.filter("product_code IS NOT NULL"), "product_code", "left").filter(~idle | ~products.exists()))
 
     have = number_or_zero(F.col("Last_on_hand"))
     daily = F.coalesce("daily_sales", F.lit(0.0))

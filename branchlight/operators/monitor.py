@@ -4,12 +4,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..session import staged
 from .oplog import moment
 from .scan import running
 
@@ -76,83 +80,86 @@ def resource_alerts(metrics: DataFrame, percent: float = 90, memory_mb: float =
 # --- repeat suppression ---------------------------------------------------------------------------
 #
 # An alert is emitted when the last *emitted* alert of its type is older than the quiet time, so each decision
-# depends on the one before. Cutting a type's time line into chunks makes it parallel all the same: what a chunk
-# does depends only on the last emission before it, and that matters only through the first alert of the chunk
-# that it lets through. Pass one follows the chain from every alert that could be that first one and notes where
-# it leaves the chunk; a small walk per type then finds from when on each chunk may emit; pass two replays each
-# chunk from there. Alerts are only ever held one chunk of one type at a time.
-
-_LINKS = T.StructType([T.StructField("alert_type", T.StringType()), T.StructField("_chunk", T.LongType()),
-                       T.StructField("entry_us", T.LongType()), T.StructField("exit_us", T.LongType())])
-
-
-def _next_emission(times: np.ndarray, after: int, quiet: int) -> int:
-    return int(np.searchsorted(times, after + quiet, side="left"))
-
-
-def _chunk_links(quiet: int):
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["at_us"].to_numpy())
-        n = len(times)
-        following = np.searchsorted(times, times + quiet, side="left")
-        exits = times.copy()
-        for i in range(n - 1, -1, -1):
-            if following[i] < n:
-                exits[i] = exits[following[i]]
-        # Only alerts within the quiet time of the chunk's start can follow an earlier emission; the chunk's
-        # very first alert covers every emission that lies further back.
-        chunk_start = int(pdf["_chunk"].iloc[0]) * int(pdf["_span"].iloc[0])
-        keep = (times <= chunk_start + quiet) | (np.arange(n) == 0)
-        last = np.flatnonzero(keep)[-1]
-        keep[: min(last + 2, n)] = True
-        # Neighbours that leave the chunk at the same point lead to the same walk: the last of them stands for all.
-        keep[:-1] &= ~(keep[1:] & (exits[1:] == exits[:-1]))
-        at = np.flatnonzero(keep)
-        return pd.DataFrame({"alert_type": pdf["alert_type"].iloc[0], "_chunk": pdf["_chunk"].iloc[0],
-                             "entry_us": times[at], "exit_us": exits[at]})
-    return links
-
-
-def _walk(quiet: int):
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, last = [], None
-        for chunk, part in pdf.sort_values(["_chunk", "entry_us"]).groupby("_chunk", sort=True):
-            entries, exits = part["entry_us"].to_numpy(), part["exit_us"].to_numpy()
-            start = np.iinfo(np.int64).min if last is None else last + quiet
-            i = int(np.searchsorted(entries, start, side="left"))
-            if i < len(entries):
-                rows.append((pdf["alert_type"].iloc[0], chunk, start, exits[i]))
-                last = exits[i]
-        return pd.DataFrame(rows, columns=["alert_type", "_chunk", "entry_us", "exit_us"])
-    return walk
+# depends on the one before. It is made parallel all the same: the distinct times are cut into ranges of about
+# equally many rows, whatever their types, and within a range every alert is followed to the last emission that a
+# walk starting at it makes there, its exit. A walk goes on at the first alert at least the quiet time after its exit,
+# which a scan over all ranges finds for every exit; so each exit has a next exit. The exits that are really reached
+# from each type's first alert are found by pointer doubling: as many joins as the logarithm of the number of ranges.
+# Each range is then replayed from the alerts at which the walk enters it. A task holds one range at a time.
+
+_LINKS = "alert_type string, at_us long, exit_us long, range long"
+
+
+def _exits(quiet: int):
+    def exits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(frames)  # one range
+        if held:
+            for kind, part in pd.concat(held).groupby("alert_type", sort=False):
+                times = np.sort(part["at_us"].to_numpy())
+                place = np.arange(len(times))
+                following = np.searchsorted(times, times + quiet, side="left")
+                last = np.where(following < len(times), following, place)
+                for _ in range(len(times).bit_length()):
+                    last = last[last]
+                yield pd.DataFrame({"alert_type": kind, "at_us": times, "exit_us": times[last],
+                                    "range": TaskContext.get().partitionId()})
+    return exits
 
 
 def _replay(quiet: int):
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["at_us"].to_numpy())
-        out, i = [], int(np.searchsorted(times, int(pdf["entry_us"].iloc[0]), side="left"))
-        while i < len(times):
-            out.append(times[i])
-            i = _next_emission(times, times[i], quiet)
-        return pd.DataFrame({"alert_type": pdf["alert_type"].iloc[0], "at_us": np.array(out, dtype=np.int64)})
+        out = []
+        for kind, part in pdf.groupby("alert_type", sort=False):
+            times = np.sort(part["at_us"].to_numpy())
+            for entry in np.sort(part.loc[part["entered"], "at_us"].to_numpy()):
+                i = int(np.searchsorted(times, entry))
+                while i < len(times):
+                    out.append((kind, times[i]))
+                    i = int(np.searchsorted(times, times[i] + quiet, side="left"))
+        return pd.DataFrame(out, columns=["alert_type", "at_us"])
     return replay
 
 
-def suppress_repeat_alerts(alerts: DataFrame, quiet_seconds: int = 300, chunk_seconds: int = 3600,
+def suppress_repeat_alerts(alerts: DataFrame, quiet_seconds: int = 300, range_rows: int = 1_000_000,
                            ts: str = "ts", kind: str = "alert_type") -> DataFrame:
     """Emitted alerts (type, time): the first of a type, then each one at least the quiet time after the last
-    emitted one. Equal times of one type count once.
+    emitted one. Equal times of one type count once; null types and times are left out.
 
-    ``chunk_seconds`` sets how much of one type's time line a task holds; shorten it for busier logs."""
-    quiet, span = quiet_seconds * 1_000_000, max(chunk_seconds, quiet_seconds * 2) * 1_000_000
+    A task holds about ``range_rows`` rows, also where one type has all of them."""
+    quiet = quiet_seconds * 1_000_000
     at = F.unix_micros(F.col(ts).cast("timestamp")) if dict(alerts.dtypes)[ts] != "timestamp_ntz" else \
         F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
-    times = alerts.select(F.col(kind).alias("alert_type"), at.alias("at_us")).dropna().distinct() \
-        .withColumns({"_chunk": F.floor(F.col("at_us") / span), "_span": F.lit(span)})
-    links = times.groupBy("alert_type", "_chunk").applyInPandas(_chunk_links(quiet), _LINKS)
-    entries = links.groupBy("alert_type").applyInPandas(_walk(quiet), _LINKS)
-    out = times.join(entries, ["alert_type", "_chunk"]).groupBy("alert_type", "_chunk").applyInPandas(
-        _replay(quiet), "alert_type string, at_us long")
+    times = staged(alerts.select(F.col(kind).alias("alert_type"), at.alias("at_us")).dropna().distinct())
+    ranges = max(1, math.ceil(times.count() / range_rows))
+    links = staged(times.repartitionByRange(ranges, "alert_type", "at_us").mapInPandas(_exits(quiet), _LINKS))
+
+    # Where a walk that left by an exit comes in again: the first alert at or after exit + quiet, from the last row back.
+    exits = links.select("alert_type", "exit_us").distinct()
+    both = links.select("alert_type", F.col("at_us").alias("us"), F.lit(None).cast("long").alias("exit_us"), F.lit(0).alias("asks")).unionAll(
+        exits.select("alert_type", (F.col("exit_us") + quiet).alias("us"), "exit_us", F.lit(1)))
+    back = running(both, [-F.col("us"), F.col("asks")], ["alert_type"],
+                   last_known={"entry": F.when(F.col("asks") == 0, F.col("us"))}, ranges=ranges)
+    entries = staged(back.filter("asks = 1 AND entry IS NOT NULL").select("alert_type", "exit_us", "entry"))
+    reached = links.select("alert_type", F.col("at_us").alias("entry"), F.col("exit_us").alias("next"))
+    jumps = staged(entries.join(reached, ["alert_type", "entry"]).select("alert_type", "exit_us", "next"))
+
+    first = staged(links.groupBy("alert_type").agg(F.min("at_us").alias("at_us"), F.min_by("exit_us", "at_us").alias("exit_us")))
+    seen, many = first.select("alert_type", "exit_us"), -1
+    while True:
+        further = seen.join(jumps, ["alert_type", "exit_us"]).select("alert_type", F.col("next").alias("exit_us"))
+        seen = staged(seen.unionAll(further).distinct())
+        count = seen.count()
+        if count == many:
+            break
+        many = count
+        onward = jumps.select("alert_type", F.col("exit_us").alias("next"), F.col("next").alias("after"))
+        jumps = staged(jumps.join(onward, ["alert_type", "next"]).select("alert_type", "exit_us", F.col("after").alias("next")))
+
+    entered = first.select("alert_type", "at_us").unionAll(
+        seen.join(entries, ["alert_type", "exit_us"]).select("alert_type", F.col("entry").alias("at_us"))).distinct()
+    marked = links.join(entered.withColumn("entered", F.lit(True)), ["alert_type", "at_us"], "left").select(
+        "alert_type", "at_us", "range", F.coalesce("entered", F.lit(False)).alias("entered"))
+    out = marked.groupBy("range").applyInPandas(_replay(quiet), "alert_type string, at_us long")
     return out.select("alert_type", (F.lit("1970-01-01").cast("timestamp_ntz")
                                      + F.make_dt_interval(secs=(F.col("at_us").cast("decimal(20,0)")
                                                                 / F.lit(1_000_000).cast("decimal(10,0)"))

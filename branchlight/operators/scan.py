@@ -8,6 +8,7 @@ A key that fills many ranges is therefore worked on by many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from ..session import staged
 
 _PART = "_range"
+#: Rows that a range has at most, about.
+ROWS = 2_000_000
 
 
 def _name(order: Column | str) -> Column:
@@ -40,8 +43,12 @@ def running(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] =
     inputs = {**{f"_s_{n}": e for n, e in sums.items()}, **{f"_l_{n}": e for n, e in last_known.items()},
               **{f"_p_{n}": e for n, e in previous.items()}}
     rows = df.withColumns(inputs) if inputs else df
-    # Without a stated number there are as many ranges as shuffle partitions; adaptive execution merges small ones.
     by = [F.col(k) for k in keys] + order
+    if not ranges:
+        # As many ranges as the rows need. Up to the shuffle partitions, adaptive execution merges small ones.
+        rows = staged(rows)
+        needed = math.ceil(rows.count() / ROWS)
+        ranges = needed if needed > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
     rows = rows.repartitionByRange(ranges, *by) if ranges else rows.repartitionByRange(*by)
     rows = staged(rows.withColumn(_PART, F.spark_partition_id()))
 

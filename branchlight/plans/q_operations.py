@@ -361,7 +361,7 @@ SELECT event_type AS alert_type, CAST(ts AS VARCHAR) AS emitted_at FROM r"""
 
 @register("alert_suppression", _SUPPRESSED)
 def _(spark, d):
-    return monitor.suppress_repeat_alerts(fx.raw(spark, d, "events"), 300, chunk_seconds=21_600, kind="event_type")
+    return monitor.suppress_repeat_alerts(fx.raw(spark, d, "events"), 300, kind="event_type")
 
 
 # --- streams, drained -----------------------------------------------------------------------------

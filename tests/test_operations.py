@@ -1,10 +1,12 @@
 import datetime as dt
+import math
 import random
 import time
 
 from pyspark.sql import functions as F
 
 from branchlight.operators import batches, monitor, oplog, versions
+from branchlight.session import staged
 from branchlight.streaming import alerts as sa, operations as so
 from branchlight.streaming.run import drain, drain_to_the_end, shared_folder
 
@@ -31,10 +33,25 @@ def alert_log(spark):
 
 def test_suppression_equals_the_sequential_rule(spark):
     data, df = alert_log(spark)
-    got = monitor.suppress_repeat_alerts(df, 300, chunk_seconds=900).collect()
-    for kind in ("hot", "rare"):
-        want = greedy([s for k, s in data if k == kind], 300)
-        assert sorted(r.emitted_at for r in got if r.alert_type == kind) == [at(s) for s in want]
+    for rows in (1_000_000, 60, 7):
+        got = monitor.suppress_repeat_alerts(df, 300, range_rows=rows).collect()
+        assert len(got) == len(set(got))
+        for kind in ("hot", "rare"):
+            want = greedy([s for k, s in data if k == kind], 300)
+            assert sorted(r.emitted_at for r in got if r.alert_type == kind) == [at(s) for s in want]
+    assert monitor.suppress_repeat_alerts(df.filter("false"), 300).collect() == []
+
+
+def test_one_type_with_all_alerts_is_spread(spark, monkeypatch):
+    """Ranges are cut by rows: no task takes a type whole, also where a range is shorter than the quiet time."""
+    written = []
+    monkeypatch.setattr(monitor, "staged", lambda df: (written.append(staged(df)), written[-1])[1])
+    df = spark.range(4_000).select(F.lit("hot").alias("alert_type"), F.timestamp_seconds(F.col("id")).alias("ts"))
+    got = monitor.suppress_repeat_alerts(df, 300, range_rows=200).collect()
+    assert len(got) == math.ceil(4_000 / 300)
+    links = next(w for w in written if "range" in w.columns)
+    sizes = [r["count"] for r in links.groupBy("range").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 500
 
 
 def files(spark, df, parts):

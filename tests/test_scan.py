@@ -3,7 +3,9 @@ import random
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from branchlight.operators import scan
 from branchlight.operators.scan import running
+from branchlight.session import staged
 
 
 def brute(data, keyed):
@@ -38,3 +40,17 @@ def test_hot_key_is_split_over_ranges_and_stays_exact(spark):
                        st.one_of(st.none(), st.integers(-9, 9)), min_size=1, max_size=40), st.booleans())
 def test_random_tables(spark, cells, keyed):
     check(spark, [(k, at, v) for (k, at), v in cells.items()], keyed, 4)
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    """A hundred times the rows give more ranges, not larger ones, also where one key has all rows."""
+    monkeypatch.setattr(scan, "ROWS", 500)
+    written = []
+    monkeypatch.setattr(scan, "staged", lambda df: (written.append(staged(df)), written[-1])[1])
+    for n in (300, 30_000):
+        df = spark.range(n).withColumn("k", F.lit("one"))
+        out = scan.running(df, ["id"], ["k"], sums={"total": F.lit(1)}, row_number="at")
+        assert out.filter("total <> id + 1 OR at <> id + 1").count() == 0 and out.count() == n
+        ranged = next(w for w in reversed(written) if "_range" in w.columns)
+        assert max(r["count"] for r in ranged.groupBy("_range").count().collect()) <= 1_500
+    assert ranged.select("_range").distinct().count() >= 20
