@@ -31,9 +31,10 @@ _DOC = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int = 512, sample_ids: int = 8192,
-                     size: int = 65536) -> bytes:
+                     size: int = 65536, runs: int = 8) -> bytes:
     """A zstandard dictionary from the serialized ids of at most ``sample_docs`` documents (smallest id hashes), of each
-    at most ``sample_ids`` ids. Too few or too uniform samples give their plain content as dictionary, none an empty one."""
+    at most ``sample_ids`` ids: all, or else ``runs`` runs spread evenly from its start to its end. Too few or too uniform samples
+    give their plain content as dictionary, none an empty one."""
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
             .orderBy(F.xxhash64("doc_id", "text")).limit(sample_docs).select("text"))
@@ -41,7 +42,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs:
     def train(batches):
         import zstandard
 
-        samples = [x[: 4 * sample_ids] for b in batches for x in encoded(tokenizer, b.column("text").to_pylist(), end_id)]
+        samples = [part for b in batches for x in encoded(tokenizer, b.column("text").to_pylist(), end_id)
+                   for part in _spread(x, sample_ids, runs)]
         try:
             made = zstandard.train_dictionary(size, samples).as_bytes()
         except (zstandard.ZstdError, ValueError):
@@ -53,6 +55,15 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs:
     return bytes(found[0].dictionary) if found else b""
 
 
+def _spread(ids: bytes, most: int, runs: int) -> list[bytes]:
+    """Serialized ids whole if they are at most ``most``, else ``runs`` equal runs of them, the first at the start, the last at the end."""
+    n, each = len(ids) // 4, max(1, most // runs)
+    if n <= most:
+        return [ids]
+    starts = [(n - each) * i // max(1, runs - 1) for i in range(runs)]
+    return [ids[4 * a: 4 * (a + each)] for a in starts]
+
+
 def _compressors(dictionary: bytes):
     import zstandard
 
@@ -165,10 +176,10 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     if wanted is not None:
-        near = F.lit(False)
-        for i in wanted:
-            near = near | ((F.col("last_doc_id") >= i) & (F.coalesce("first_doc_id", F.lit(i)) <= i))
-        blocks = blocks.where(near)
+        # Blocks lie between the smallest and the largest id asked for; among these, some id must fall in the block's own range.
+        asked = F.array(*[F.lit(i).cast("long") for i in wanted]) if wanted else F.array().cast("array<long>")
+        within = F.exists(asked, lambda i: (i >= F.coalesce("first_doc_id", i)) & (i <= F.col("last_doc_id")))
+        blocks = blocks.where(F.col("last_doc_id") >= wanted[0]).where(within) if wanted else blocks.where("false")
     rows = blocks.join(F.broadcast(bases), "shard").select(
         (F.col("base") + F.col("start_in_shard")).alias("start"), "payload")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
