@@ -517,8 +517,17 @@ def _(spark, d):
     return _run(spark, d)[1]
 
 
-@register("per_series_forecast")
-def _(spark, d):
+def _category_series(spark, d):
     keys = ["branch_code", "item_category1"]
     s = joins.sales_with_item_info(fx.sales(spark, d), fx.inventory(spark, d))
-    return dm.per_series_forecast(fc.daily_series(s, keys), keys, 30)
+    return fc.daily_series(s, keys), keys
+
+
+@register("per_series_forecast")
+def _(spark, d):
+    return dm.per_series_forecast(*_category_series(spark, d), 30, model="trees")
+
+
+@register("per_series_least_squares")
+def _(spark, d):
+    return dm.per_series_forecast(*_category_series(spark, d), 30)

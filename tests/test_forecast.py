@@ -1,10 +1,12 @@
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from branchlight.functions import calendar as cal, stock as S
-from branchlight.operators import demand_model as dm, forecast as fc, forecast_review as fr
+from branchlight.operators import demand_model as dm, forecast as fc, forecast_review as fr, series_trees as trees
 
 D = dt.date
 
@@ -132,6 +134,48 @@ def test_series_outlook_follows_a_straight_line(spark):
     assert len(got) == 5 and abs(got[0].predicted - 220) < 5 and all(0 <= r.confidence <= 0.98 for r in got)
 
 
+def steps(n, seed=0):
+    """Weekends, a summer and the ends of months stand out; ``n`` days with a little noise."""
+    days = pd.date_range("2021-03-01", periods=n)
+    rnd = np.random.default_rng(seed)
+    level = 20 + 15 * (days.dayofweek >= 5) + 10 * days.month.isin([6, 7, 8]) + 8 * (days.day >= 28)
+    return days, np.asarray(level, float) + rnd.normal(0, 0.5, n)
+
+
+def test_series_trees_split_best_and_learn_steps():
+    days, y = steps(300)
+    x = trees.calendar_bins(days)
+    stump = trees.fit_series(x, y, trees=1, depth=1)
+    g = y - y.mean()
+
+    def gain(left):
+        parts = [(g[s].sum(), s.sum()) for s in (left, ~left)]
+        return max(-1.0, sum(a * a / (n + 1) for a, n in parts)) if all(n for _, n in parts) else -1.0
+    best = max(gain(x[:, j] <= c) for j in range(3) for c in range(31))
+    left = x[:, stump.feature[0, 0]] <= stump.cut[0, 0]
+    assert gain(left) == pytest.approx(best)
+    assert stump.predict(x)[left][0] == pytest.approx(y.mean() + 0.1 * g[left].sum() / (left.sum() + 1))
+    days, y = steps(1_000)
+    x = trees.calendar_bins(days)
+    model = trees.fit_series(x[:800], y[:800])
+    assert model.feature.shape == (100, 63) and np.sqrt(((model.predict(x[800:]) - y[800:]) ** 2).mean()) < 1.5
+    # Learning more never fits the learned days worse, and a constant series stays constant.
+    errors = [np.abs(trees.fit_series(x, y, trees=n).predict(x) - y).mean() for n in (0, 1, 10, 100)]
+    assert errors == sorted(errors, reverse=True)
+    assert trees.fit_series(x, np.full(1_000, 4.0)).predict(x) == pytest.approx(np.full(1_000, 4.0))
+    assert trees.fit_series(x[:1], y[:1]).predict(x[:5]) == pytest.approx(np.full(5, y[0]))
+
+
+def test_series_trees_beat_least_squares_on_calendar_steps(spark):
+    rows = [(k, d.date(), float(v)) for k in range(4) for d, v in zip(*steps(900, k))] + [(9, D(2024, 1, 1), 3.0)]
+    s = spark.createDataFrame(rows, "k int, sale_date date, quantity_sold double")
+    found = {m: {r.k: r for r in dm.per_series_forecast(s, ["k"], 30, model=m).collect()} for m in ("trees", "least_squares")}
+    for k in range(4):
+        assert found["trees"][k].rmse < found["least_squares"][k].rmse
+    ahead = dm.per_series_forecast(s.filter("k = 9"), ["k"], 30, model="trees").collect()
+    assert len(ahead) == 30 and {r.predicted for r in ahead} == {3.0}
+
+
 def test_seasons_follow_the_dates(spark):
     far = dates(spark, D(1950, 6, 1), D(2060, 1, 1))
     days = cal.seasons_of(far, 3).agg(F.min("season_day"), F.max("season_day")).first()
