@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal, stock as S
 from ..functions.numeric import half_even
-from ..session import staged
+from ..session import ensure_checkpoint_dir, staged
 from ..operators import demand_model as dm, forecast as fc, forecast_review as fr, joins
 from . import fixtures as fx
 from .fixtures import with_ctes
@@ -461,11 +461,26 @@ def _features(spark, d):
     return fc.daily_features((h := history(spark, d)), events(spark), cal.seasons_of(h))
 
 
+def model_path(spark, d) -> str:
+    """Where the demand model of a table folder's present rows is kept: named by their fingerprint, in the folder that
+    outlives the session if ``spark.checkpoint.dir`` names one."""
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/demand-models/{dm.data_fingerprint(fx.sales(spark, d))}"
+
+
+def train_model(spark, d) -> dm.DemandModel:
+    """Train the demand model of a table folder and save it: an action of its own, which ``tools/train_models.py`` runs."""
+    model = dm.train_demand_model(_features(spark, d))
+    dm.save_model(spark, model, model_path(spark, d))
+    return model
+
+
 def fitted_model(spark, d) -> dm.DemandModel:
-    """The demand model of one table folder, trained once per session and shared by its queries."""
+    """The saved demand model of a table folder, whichever session trained it; only without one it is trained here."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
-        _MODELS[key] = dm.train_demand_model(_features(spark, d))
+        _MODELS[key] = dm.load_model(spark, model_path(spark, d)) or train_model(spark, d)
     return _MODELS[key]
 
 
@@ -499,8 +514,7 @@ def _(spark, d):
 
 @register("feature_importance_top")
 def _(spark, d):
-    table = spark.createDataFrame(fitted_model(spark, d).importances, "feature string, importance double")
-    return dm.top_importances(table, 10)
+    return dm.top_importances(dm.importance_use(fitted_model(spark, d), _features(spark, d)), 10)
 
 
 def _run(spark, d):

@@ -127,6 +127,28 @@ def test_model_beats_the_global_mean_and_predictions_are_usable(spark):
     assert summary.count() == 3
 
 
+def test_a_saved_model_is_loaded_not_trained(spark, tmp_path, monkeypatch):
+    rows = [(f"p{i % 3}", "N", D(2024, 1, 1) + dt.timedelta(days=i // 3), float(i % 7 + (i // 3) % 7), 2.0) for i in range(240)]
+    u = spark.createDataFrame(rows, "product_code string, branch_code string, sale_date date, quantity_sold double, price double") \
+        .selectExpr("*", "cast(quantity_sold * price as decimal(18,4)) AS revenue", "cast(0 as decimal(18,4)) AS discount",
+                    "50L AS Last_on_hand", "'n' AS product_name", "'c' AS item_category1", "'d' AS item_category2")
+    features = fc.daily_features(fc.daily_totals(u), None, cal.hijri_seasons(spark, D(2020, 1, 1), D(2030, 1, 1)))
+    model = dm.train_demand_model(features, trees=3, depth=3)
+    path = str(tmp_path / "model")
+    assert dm.load_model(spark, path) is None
+    dm.save_model(spark, model, path)
+    monkeypatch.setattr(dm, "train_demand_model", None)
+    again = dm.load_model(spark, path)
+    assert (again.metrics, again.importances, again.margin) == (model.metrics, model.importances, model.margin)
+    scored = [dm.model_metrics(m, features).first() for m in (model, again)]
+    assert scored[0].asDict() == pytest.approx(scored[1].asDict()) and scored[0].mae == pytest.approx(model.metrics["mae"])
+    used = {r.feature: r for r in dm.importance_use(again, features).collect()}
+    assert {f: r.importance for f, r in used.items()} == pytest.approx(dict(model.importances))
+    assert used["day"].used_rows == features.count() and used["discount"].used_rows == 0
+    assert used["is_weekend"].used_rows == features.filter("is_weekend = 1").count()
+    assert dm.data_fingerprint(u) == dm.data_fingerprint(u.repartition(5)) != dm.data_fingerprint(u.limit(3))
+
+
 def test_series_outlook_follows_a_straight_line(spark):
     s = spark.createDataFrame([("a", D(2024, 1, 1) + dt.timedelta(days=n), 100.0 + n) for n in range(120)],
                               "k string, sale_date date, quantity_sold double")
