@@ -33,6 +33,8 @@ HEAD = 1_000_000
 ALPHA, DISCOUNT = 0.1, 0.5
 #: Words with fewer letters: their probability is above 1e-300, as no piece's is below 1e-14.
 SHORT = 20
+#: Bits of a letter's code point.
+LETTER = 21
 _FLUSH = 200_000
 
 
@@ -60,6 +62,25 @@ class Vocabulary:
             weights.append(1.0 / (10.0 - model.get_score(i)))
         self.starts = np.array([p.startswith(MARK) for p in self.pieces])
         self.first = np.array(weights) / sum(weights)
+        self._build_trie()
+
+    def _build_trie(self) -> None:
+        """The pieces as a trie in arrays: sorted keys (node, letter), the node each leads to, and the piece that ends at a node."""
+        byte_pieces, steps, ends = set(self.bytes), {}, [-1]
+        for i, piece in enumerate(self.pieces):
+            if i in byte_pieces:
+                continue
+            node = 0
+            for letter in piece:
+                key = node << LETTER | ord(letter)
+                node = steps.get(key, 0)
+                if not node:
+                    node = steps[key] = len(ends)
+                    ends.append(-1)
+            ends[node] = i
+        self.keys = np.array(sorted(steps), np.int64)
+        self.nodes = np.array([steps[k] for k in self.keys.tolist()], np.int64)
+        self.ends = np.array(ends)
 
     def segmented(self, words: list[str]) -> list[list[int]]:
         """The tokenizer's own segmentation of each word."""
@@ -69,34 +90,50 @@ class Vocabulary:
         return model.encode([w.encode("utf-8", "replace").decode() for w in words], num_threads=1)
 
 
-class Lattice:
-    """Forward (and backward) recursions over the segmentations of words, given the pieces' probabilities."""
+_PREFIXES: dict[str, dict[str, int]] = {}
 
-    def __init__(self, vocabulary: Vocabulary, probabilities: np.ndarray):
-        logs = np.log(probabilities).tolist()
+
+def _prefixes(vocabulary: Vocabulary) -> dict[str, int]:
+    """The number of each piece and -1 for each other prefix of one, kept by the worker for its next tasks."""
+    if vocabulary.path not in _PREFIXES:
         byte_pieces = set(vocabulary.bytes)
-        self.bytes = [(i, logs[i]) for i in vocabulary.bytes]
-        # Every prefix of a piece leads on; only pieces have a number and a weight.
-        self.edges: dict[str, tuple[int, float] | None] = {}
-        for i, piece in enumerate(vocabulary.pieces):
-            if i not in byte_pieces:
-                self.edges[piece] = (i, logs[i])
-        for piece in list(self.edges):
+        edges = {piece: i for i, piece in enumerate(vocabulary.pieces) if i not in byte_pieces}
+        for piece in list(edges):
             for n in range(1, len(piece)):
-                self.edges.setdefault(piece[:n], None)
-        self.plain = {k: e and (e[0], math.exp(e[1])) for k, e in self.edges.items()}
+                edges.setdefault(piece[:n], -1)
+        _PREFIXES[vocabulary.path] = edges
+    return _PREFIXES[vocabulary.path]
+
+
+class Lattice:
+    """Forward (and backward) recursions over the segmentations of words, given the pieces' probabilities.
+
+    Short words of one length go through together, as arrays; long words and those with a letter that no piece has, one by one
+    and in log space.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, probabilities: np.ndarray):
+        self.vocabulary, self.probabilities = vocabulary, probabilities
+        self.logs = np.log(probabilities).tolist()
+        self.bytes = [(i, self.logs[i]) for i in vocabulary.bytes]
+        self.known = _prefixes(vocabulary)
+
+    @property
+    def edges(self) -> dict[str, tuple[int, float] | None]:
+        """(number, log weight) of each piece, None for each other prefix of one."""
+        return {k: (i, self.logs[i]) if i >= 0 else None for k, i in self.known.items()}
 
     def _steps(self, word: str) -> list[list[tuple[int, float, list[int]]]]:
         """From each place: (place reached, log weight, pieces) of the edges. A letter without a piece takes its bytes."""
-        get, n, out = self.edges.get, len(word), []
+        get, n, out = self.known.get, len(word), []
         for i in range(n):
             here = []
             for j in range(i + 1, n + 1):
-                edge = get(word[i:j], 0)
-                if edge == 0:
+                edge = get(word[i:j])
+                if edge is None:
                     break
-                if edge:
-                    here.append((j, edge[1], [edge[0]]))
+                if edge >= 0:
+                    here.append((j, self.logs[edge], [edge]))
             if not here or here[0][0] != i + 1:
                 spelled = [self.bytes[b] for b in word[i].encode("utf-8", "surrogatepass")]
                 here.append((i + 1, sum(w for _, w in spelled), [p for p, _ in spelled]))
@@ -106,7 +143,7 @@ class Lattice:
     def log_marginal(self, word: str) -> float:
         """Natural log of the sum over all segmentations of the word mark and ``word``."""
         word = MARK + word
-        get, n, bytes_ = self.edges.get, len(word), self.bytes
+        get, n, bytes_, logs = self.known.get, len(word), self.bytes, self.logs
         alpha = [-math.inf] * n + [-math.inf]
         alpha[0] = 0.0
         exp, log1p = math.exp, math.log1p
@@ -114,12 +151,12 @@ class Lattice:
             a = alpha[i]
             single = False
             for j in range(i + 1, n + 1):
-                edge = get(word[i:j], 0)
-                if edge == 0:
+                edge = get(word[i:j])
+                if edge is None:
                     break
-                if edge:
+                if edge >= 0:
                     single = single or j == i + 1
-                    x, y = alpha[j], a + edge[1]
+                    x, y = alpha[j], a + logs[edge]
                     if y > x:
                         x, y = y, x
                     alpha[j] = x + log1p(exp(y - x)) if y > x - 40 else x
@@ -131,41 +168,80 @@ class Lattice:
                 alpha[i + 1] = x + log1p(exp(y - x)) if y > x - 40 else x
         return alpha[n]
 
-    def expect(self, word: str, count: float, into: list[float]) -> None:
-        """Add the expected uses of each piece in ``count`` words to ``into``."""
-        if len(word) >= SHORT:
-            return self._expect_long(word, count, into)
-        # In a short word no product of weights leaves the range of doubles.
-        word = MARK + word
-        get, n = self.plain.get, len(word)
-        alpha, used = [0.0] * (n + 1), []
-        alpha[0] = 1.0
+    def _blocks(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers, letters) of the short words, those of one length together, word mark first."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(size[size < SHORT]).tolist():
+            own = np.flatnonzero(size == n)
+            letters = "".join([MARK + words[i] for i in own.tolist()]).encode("utf-32-le", "surrogatepass")
+            yield own, np.frombuffer(letters, "<u4").reshape(len(own), n + 1).astype(np.int64)
+
+    def _edges(self, letters: np.ndarray) -> tuple[list[tuple[int, int, np.ndarray, np.ndarray]], np.ndarray]:
+        """(from, to, rows, pieces) in order of places, and which rows have a letter without a piece."""
+        v, (many, n) = self.vocabulary, letters.shape
+        out, spelled = [], np.zeros(many, bool)
         for i in range(n):
-            a = alpha[i]
-            single = False
-            for j in range(i + 1, n + 1):
-                edge = get(word[i:j], 0)
-                if edge == 0:
+            rows, node, single = np.arange(many), np.zeros(many, np.int64), np.zeros(many, bool)
+            for j in range(i, n):
+                key = node << LETTER | letters[rows, j]
+                at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+                hit = v.keys[at] == key
+                rows, node = rows[hit], v.nodes[at[hit]]
+                if not len(rows):
                     break
-                if edge:
-                    single = single or j == i + 1
-                    alpha[j] += a * edge[1]
-                    used.append((i, j, edge[1], edge[0]))
-            if not single:
-                spelled = [self.bytes[b] for b in word[i].encode("utf-8", "surrogatepass")]
-                w = math.exp(sum(x for _, x in spelled))
-                alpha[i + 1] += a * w
-                used.append((i, i + 1, w, [p for p, _ in spelled]))
-        beta = [0.0] * (n + 1)
-        beta[n] = count / alpha[n]
-        for i, j, w, piece in reversed(used):
-            y = beta[j] * w
-            beta[i] += y
-            if piece.__class__ is int:
-                into[piece] += alpha[i] * y
-            else:
-                for p in piece:
-                    into[p] += alpha[i] * y
+                piece = v.ends[node]
+                some = piece >= 0
+                if j == i:
+                    single[rows[some]] = True
+                out.append((i, j + 1, rows[some], piece[some]))
+            spelled |= ~single
+        return out, spelled
+
+    def _forward(self, letters: np.ndarray, edges) -> np.ndarray:
+        # In a short word no product of weights leaves the range of doubles.
+        alpha = np.zeros((len(letters), letters.shape[1] + 1))
+        alpha[:, 0] = 1.0
+        for i, j, rows, piece in edges:
+            alpha[rows, j] += alpha[rows, i] * self.probabilities[piece]
+        return alpha
+
+    def log_marginals(self, words: list[str]) -> np.ndarray:
+        """``log_marginal`` of each word."""
+        out = np.full(len(words), np.nan)
+        for own, letters in self._blocks(words):
+            edges, spelled = self._edges(letters)
+            alpha = self._forward(letters, edges)
+            out[own[~spelled]] = np.log(alpha[~spelled, -1])
+        for i in np.flatnonzero(np.isnan(out)).tolist():
+            out[i] = self.log_marginal(words[i])
+        return out
+
+    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """The expected uses of each piece in ``counts`` times each word."""
+        into, done = np.zeros(len(self.probabilities)), np.zeros(len(words), bool)
+        for own, letters in self._blocks(words):
+            edges, spelled = self._edges(letters)
+            alpha = self._forward(letters, edges)
+            beta = np.zeros(alpha.shape)
+            beta[~spelled, -1] = counts[own[~spelled]] / alpha[~spelled, -1]
+            pieces, uses = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for i, j, rows, piece in reversed(edges):
+                y = beta[rows, j] * self.probabilities[piece]
+                beta[rows, i] += y
+                pieces.append(piece)
+                uses.append(alpha[rows, i] * y)
+            into += np.bincount(np.concatenate(pieces), np.concatenate(uses), len(into))
+            done[own[~spelled]] = True
+        rest = into.tolist()
+        for i in np.flatnonzero(~done).tolist():
+            self._expect_long(words[i], float(counts[i]), rest)
+        return np.array(rest)
+
+    def expect(self, word: str, count: float, into: list[float]) -> None:
+        """Add the expected uses of each piece in ``count`` words to ``into``."""
+        uses = self.expected([word], np.array([count], float))
+        for p in np.flatnonzero(uses).tolist():
+            into[p] += float(uses[p])
 
     def _expect_long(self, word: str, count: float, into: list[float]) -> None:
         """The same with logarithms."""
@@ -226,7 +302,7 @@ def word_counts(docs: DataFrame, learns: Column) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit_pieces(words: DataFrame, vocabulary: Vocabulary, ends: int, rounds: int = 1, floor: float = 0.01
+def fit_pieces(words: DataFrame, vocabulary: Vocabulary, ends: int, rounds: int = 2, floor: float = 0.01
                ) -> tuple[np.ndarray, float]:
     """Probabilities of the pieces and of the end, adding up to one.
 
@@ -265,11 +341,11 @@ def fit_pieces(words: DataFrame, vocabulary: Vocabulary, ends: int, rounds: int
         held = spark.sparkContext.broadcast((vocabulary, p))
 
         def expect(batches):
-            lattice, into = Lattice(*held.value), [0.0] * len(held.value[1])
+            lattice, into = Lattice(*held.value), np.zeros(len(held.value[1]))
             for batch in batches:
-                for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                    lattice.expect(_text(word), c, into)
-            yield sums(np.array(into))
+                words = [_text(w) for w in batch.column("word").to_pylist()]
+                into += lattice.expected(words, batch.column("c").to_numpy())
+            yield sums(into)
 
         soft = uses(expect) + floor
         total = soft.sum() + ends + floor
@@ -308,13 +384,10 @@ def score_documents(docs: DataFrame, vocabulary_file: str, learns: Column) -> Da
         lattice, log_rest = Lattice(*held.value), math.log(rest)
         for batch in batches:
             counts = batch.column("c").to_pylist()
-            out = []
-            for word, c in zip(batch.column("word").to_pylist(), counts):
-                q = log_rest + lattice.log_marginal(_text(word))
-                seen = (c - DISCOUNT) / n if c else 0.0
-                # Log space keeps the lattice's share where it is below the smallest double.
-                out.append((q if not seen else math.log(seen) + math.log1p(math.exp(min(700.0, q - math.log(seen)))))
-                           / math.log(10))
+            q = log_rest + lattice.log_marginals([_text(w) for w in batch.column("word").to_pylist()])
+            # Log space keeps the lattice's share where it is below the smallest double.
+            with np.errstate(divide="ignore"):
+                out = np.logaddexp(q, np.log(np.maximum(np.array(counts) - DISCOUNT, 0.0) / max(n, 1))) / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(map(base, counts), pa.float64()),
                                               pa.array(out, pa.float64())], names=["word", "c", "base", "logp"])
 
