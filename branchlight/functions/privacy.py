@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Pattern name, expression, data class, privacy level. Matching ignores case.
 PATTERNS = [
-    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z]{2,}\b", "pii", "confidential"),
+    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "pii", "confidential"),
     ("phone", r"\b(?:\+?1[-.\s]?)?\(?([0-9]{3})\)?[-.\s]?([0-9]{3})[-.\s]?([0-9]{4})\b", "pii", "confidential"),
     ("ssn", r"\b\d{3}-?\d{2}-?\d{4}\b", "pii", "restricted"),
     ("credit_card", r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|3[0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b",
@@ -23,7 +23,7 @@ CLASS_PII, CLASS_BUSINESS, CLASS_OPERATIONAL, CLASS_PUBLIC = (
 
 # Masks for prompts, applied in this order.
 MASKS = [
-    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[EMAIL]"),
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL]"),
     (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "[PHONE]"),
     (r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b", "[CARD]"),
     (r"\b[A-Za-z0-9]{32,}\b", "[API_KEY]"),

@@ -231,15 +231,15 @@ def _(spark, d):
 
 # --- consent, processing log, retention -----------------------------------------------------------
 
-# Consents are given by sign-ups: two data types each, valid for as many hours as the event's value.
+# Every event gives a consent: to two data types, valid for as many hours as the event's value.
 _CONSENTS = """SELECT CAST(user_id AS VARCHAR) AS username, 'consent_' || (user_id % 4) AS consent_type,
    [CASE WHEN event_id % 2 = 0 THEN 'view' ELSE 'click' END, 'purchase'] AS data_types, ts AS granted_at,
    CASE WHEN user_id % 10 = 0 THEN NULL ELSE ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT) * 3600) END AS expires_at,
-   event_id % 7 <> 0 AS is_active FROM events WHERE event_type = 'signup'"""
+   event_id % 7 <> 0 AS is_active FROM events"""
 
 
 def consents(spark, d):
-    e = fx.raw(spark, d, "events").filter("event_type = 'signup'")
+    e = fx.raw(spark, d, "events")
     until = F.expr("ts + make_dt_interval(0, 0, 0, cast(round(value, 2) as decimal(12,2)) * 3600)")
     return e.select(
         F.col("user_id").cast("string").alias("username"), F.concat(F.lit("consent_"), F.col("user_id") % 4).alias("consent_type"),
@@ -309,11 +309,11 @@ def _(spark, d):
 
 @register("retention_survivors", f"""
 SELECT 'query_history' AS data_type, event_id AS id FROM events WHERE NOT ts < TIMESTAMP '{AS_OF}' - INTERVAL 5 DAY
-UNION ALL SELECT 'user_consent', event_id FROM events WHERE event_type = 'signup'""")
+UNION ALL SELECT 'user_consent', event_id FROM events""")
 def _(spark, d):
     e = fx.raw(spark, d, "events")
     kept = op.purge_expired(e, _POLICIES[0], AS_OF).select(F.lit("query_history").alias("data_type"), F.col("event_id").alias("id"))
-    never = op.purge_expired(e.filter("event_type = 'signup'"), _POLICIES[2], AS_OF)
+    never = op.purge_expired(e, _POLICIES[2], AS_OF)
     return kept.unionAll(never.select(F.lit("user_consent"), "event_id"))
 
 
