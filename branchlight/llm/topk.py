@@ -141,20 +141,21 @@ def _winners(held: Broadcast, value: np.ndarray, missing: np.ndarray):
         ties: list[np.ndarray] = [np.zeros(0, np.int64)] * n
         for at, ids, score, real in block.scores(batches):
             q, c = np.nonzero(score > value[at][:, None])
-            yield _rows(block.ids[at[q]], ids[c], score[q, c])
+            yield _rows(at[q], block.ids[at[q]], ids[c], score[q, c])
             same = (score == value[at][:, None]) & real
             for i in np.flatnonzero(same.any(1)):
                 own = at[i]
                 found = np.concatenate([ties[own], ids[same[i]]])
                 ties[own] = np.sort(found)[: missing[own]]
         for own in range(n):
-            yield _rows(np.full(len(ties[own]), block.ids[own]), ties[own], np.full(len(ties[own]), value[own]))
+            many = len(ties[own])
+            yield _rows(np.full(many, own), np.full(many, block.ids[own]), ties[own], np.full(many, value[own]))
 
-    return run, "query_id long, vec_id long, score long"
+    return run, "q long, query_id long, vec_id long, score long"
 
 
 def _rows(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns)})
+    return pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("q", "query_id", "vec_id", "score"), columns)})
 
 
 def _blocks(queries: DataFrame, size: int) -> Iterator[_Block]:
@@ -173,8 +174,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block_rows: int = 2
 
     ``vectors`` has vec_id and embedding; ``is_query`` is an expression over vec_id. Candidates are all rows whose vec_id
     isn't the query's own and whose vector has as many components. Null vectors, vectors with null or non-finite components
-    and null ids take no part; a query id that repeats counts once, with its largest vector; repeated candidates all
-    count. Fewer than k candidates are all returned. Scores are exact; one that doesn't fit a long is an error, whatever its rank
+    and null ids take no part. Rows are queries and candidates, whatever their ids: a query id that repeats gets a ranking for each of
+    its rows, with ranks from 1 each, and repeated candidates all count. Fewer than k candidates are all returned. Scores are exact; one that doesn't fit a long is an error, whatever its rank
     (as it is in SQL). Other columns are not read. The driver and each task hold one block of ``block_rows``
     queries at a time.
     """
@@ -182,7 +183,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block_rows: int = 2
     rows = written(vectors.select(F.col("vec_id").cast("long"), "embedding")
                    .where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
                    .select("vec_id", scaled(F.col("embedding")).alias("v")), "topk-vectors")
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.max("v").alias("v"))
+    queries = rows.where(is_query)
     path = shared_path(spark, "topk-result")
     result = "query_id long, rank int, vec_id long, score long"
     spark.createDataFrame([], result).write.parquet(path)
@@ -214,7 +215,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block_rows: int = 2
             width = (width - one) // np.uint64(BINS) + one
         value, missing = np.where(need > 0, low, np.iinfo(np.int64).max), need - above
         run, kind = _winners(held, value, missing)
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
         (rows.mapInArrow(run, kind).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
          .select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path))
     return spark.read.schema(result).parquet(path)
