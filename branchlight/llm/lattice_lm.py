@@ -353,13 +353,14 @@ def fit_pieces(words: DataFrame, vocabulary: Vocabulary, ends: int, rounds: int
     return p, end
 
 
-def score_documents(docs: DataFrame, vocabulary_file: str, learns: Column) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary_file: str, learns: Column, whole_words: bool = True) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document; logarithms to base 10.
 
     Tokens are a text's words (split at ASCII white space, A-Z lower-cased) and one end. ``learns``, an expression over
     doc_id, selects the documents to learn from. base_score adds log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens. Null
     texts are empty (the end alone); null ids and repeated rows are kept and count each time; with nothing to learn from, the pieces
-    keep their first weights. Columns other than doc_id and text are not read.
+    keep their first weights. Columns other than doc_id and text are not read. Without ``whole_words`` the lattice has no edges but
+    the vocabulary's pieces.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -371,7 +372,7 @@ def score_documents(docs: DataFrame, vocabulary_file: str, learns: Column) -> Da
     n, distinct, freed = n + ends, distinct + (ends > 0), freed + min(ends, DISCOUNT)
     # Partitions by the number of words: their lattices are the work, not their bytes.
     p, end = fit_pieces(words.repartition(partitions_for(words, 50_000)), vocabulary, ends)
-    rest = freed / n if n else 1.0
+    rest = freed / n if n and whole_words else 1.0
     begins = p[vocabulary.starts].sum() + end
     below = n + ALPHA * (distinct + 1)
 
@@ -387,7 +388,8 @@ def score_documents(docs: DataFrame, vocabulary_file: str, learns: Column) -> Da
             q = log_rest + lattice.log_marginals([_text(w) for w in batch.column("word").to_pylist()])
             # Log space keeps the lattice's share where it is below the smallest double.
             with np.errstate(divide="ignore"):
-                out = np.logaddexp(q, np.log(np.maximum(np.array(counts) - DISCOUNT, 0.0) / max(n, 1))) / math.log(10)
+                seen = np.log(np.maximum(np.array(counts) - DISCOUNT, 0.0) / max(n, 1)) if whole_words else -np.inf
+                out = np.logaddexp(q, seen) / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(map(base, counts), pa.float64()),
                                               pa.array(out, pa.float64())], names=["word", "c", "base", "logp"])
 
@@ -397,7 +399,7 @@ def score_documents(docs: DataFrame, vocabulary_file: str, learns: Column) -> Da
     common = {bytes(r.word): (r.base, r.logp) for r in weighed.where(F.col("c") >= often).collect()} if n > HEAD else {}
     shared = spark.sparkContext.broadcast(common)
     end_base = base(ends)
-    end_logp = math.log10((max(ends - DISCOUNT, 0.0) / n if n else 0.0) + rest * max(end, 1e-12) / begins)
+    end_logp = math.log10((max(ends - DISCOUNT, 0.0) / n if n and whole_words else 0.0) + rest * max(end, 1e-12) / begins)
 
     def texts(batches):
         head, row = shared.value, TaskContext.get().partitionId() << 40
