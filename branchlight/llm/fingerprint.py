@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small, written
+from .shared import partitions_for, small, written
 
 SUMS, SIGNS, SHIFTS = 4, 2, 30
 PARAGRAPH_END = r"[\n\r]|\s(?<=[!-+\-./:-@\[-`{-~]\s)"
@@ -29,6 +29,8 @@ _ONE = 1 | 1 << SHIFTS  # bit 0 of each 30-bit lane
 _HIGH = _ONE << SHIFTS - 1
 #: Cells of equally many ids (a power of two), and most buckets of neighbours.
 CELLS, MOST_BUCKETS = 1024, 1_000_000
+#: Rows of a partition of neighbours, about.
+ROWS_EACH = 4_000
 
 
 def _add_lanes(a: Column, bits: Column) -> Column:
@@ -149,9 +151,11 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     own = F.struct(F.col("bucket").alias("at"), F.lit(False).alias("seen"))
     copy = F.struct(F.col("also").alias("at"), F.lit(True).alias("seen"))
     dealt = rows.withColumn("place", F.explode(F.when(F.col("of").isNull(), F.array(own)).otherwise(F.array(own, copy))))
-    order = Window.partitionBy("place.at").orderBy("place.seen", F.desc_nulls_last("doc_id"), F.xxhash64(columns[0]))
+    # Whole texts travel: so many partitions that each takes a few thousand rows.
+    dealt = dealt.withColumn("place_at", F.col("place.at")).repartition(partitions_for(docs, ROWS_EACH), "place_at")
+    order = Window.partitionBy("place_at").orderBy("place.seen", F.desc_nulls_last("doc_id"), F.xxhash64(columns[0]))
     return (dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-            .where("NOT place.seen").drop("bucket", "of", "top", "also", "place"))
+            .where("NOT place.seen").drop("bucket", "of", "top", "also", "place", "place_at"))
 
 
 def fingerprints_and_edits(docs: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 Every document has a 48-bit hash. A source's documents are taken whole times, and once more where their hash is
 below the source's threshold. The threshold is found in rounds of 12 bits: sizes are summed by source and hash bucket, the
 bucket in which the budget is reached is the boundary, and the next round looks into the boundary bucket alone. Thresholds
-are nested: a smaller budget takes a subset of the documents of a larger one. Documents with the same hash (rows
-repeated whole) are taken or left together.
+are nested: a smaller budget takes a subset of the documents of a larger one. Rows that repeat whole are numbered, and from
+the second on the number is hashed too, so that they are not all taken or all left.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.scan import running
 from .shared import small, written
 
 BITS, ROUNDS = 12, 4
@@ -31,10 +32,33 @@ def word_count(text: pa.Array) -> pa.Array:
 
 def mixing_key(doc_id: Column, text: Column) -> Column:
     """The first 48 bits of the md5 of id and text; nulls count as empty texts."""
-    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))
+    return _hashed(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit(""))))
+
+
+def _hashed(name: Column) -> Column:
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, BITS * ROUNDS // 4), 16, 10).cast("long")
 
 
+def repeated_keys(rows: DataFrame) -> DataFrame | None:
+    """(source, key) that several of ``rows`` have; None if there are none."""
+    found = written(rows.groupBy("source", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("source", "key"), "mix-repeats")
+    return found if found.limit(1).count() else None
+
+
+def numbered(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``rows`` (source, key, ...) with a key of its own for each of those that repeat: the first keeps the key, the n-th gets the
+    hash of key and n. Ranges of rows are numbered by many tasks, also where a single key has most of them."""
+    if repeated is None:
+        return rows
+    these = small(repeated.select(F.col("source").alias("of"), F.col("key").alias("same")), MOST_SOURCES)
+    fits = (F.col("key") == F.col("same")) & F.col("source").eqNullSafe(F.col("of"))
+    named = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit("")))
+    more = rows.join(these, fits, "left_semi").withColumns({"named": named, "uid": F.monotonically_increasing_id()})
+    nth = running(more, ["uid"], ["named", "key"], row_number="nth")
+    key = F.when(F.col("nth") > 1, _hashed(F.concat_ws(" ", "key", "nth"))).otherwise(F.col("key"))
+    return rows.join(these, fits, "left_anti").unionByName(nth.withColumn("key", key).select(*rows.columns))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """(source, source_size, target) with weights repeating over the sources in code point order, null last.
 
@@ -106,14 +130,21 @@ def _sized(docs: DataFrame) -> DataFrame:
                        mixing_key(F.col("doc_id"), F.col("text")).alias("key"))
 
 
+def _keyed_sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Sizes and keys of every document, written once, and the keys that repeat among the documents' first keys."""
+    rows = written(_sized(docs), "mix-sizes")
+    repeated = repeated_keys(rows)
+    return (rows if repeated is None else written(numbered(rows, repeated), "mix-numbered")), repeated
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document; ``taken`` counts the words of its copies.
 
-    A null text has size 0 (and takes 0 words), null sources are one source that comes last, null ids are kept, rows that
-    repeat whole are taken alike. Columns other than doc_id, text and source are not read. The result depends on the
-    rows alone.
+    A null text has size 0 (and takes 0 words), null sources are one source that comes last, null ids are kept, and of rows
+    that repeat whole as many are taken as the threshold allows. Columns other than doc_id, text and source are not read. The
+    result depends on the rows alone.
     """
-    rows = written(_sized(docs), "mix-sizes")
+    rows, _ = _keyed_sizes(docs)
     plan = thresholds(rows, source_targets(rows, weights, most))
     return (rows.alias("r").join(small(plan, MOST_SOURCES).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
             .select("doc_id", "size", "source_size", "target",
@@ -122,11 +153,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> D
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, all columns kept. Nulls as in ``mix``."""
-    rows = written(_sized(docs), "mix-sizes")
-    plan = thresholds(rows, source_targets(rows, weights, most))
-    keyed = docs.select(F.struct("*").alias("row"), F.col("source").alias("of"),
-                        mixing_key(F.col("doc_id"), F.col("text")).alias("key"))
+    rows, repeated = _keyed_sizes(docs)
+    plan = thresholds(rows, source_targets(rows, weights, most)).withColumnRenamed("source", "of")
+    keyed = numbered(docs.select(F.struct("*").alias("row"), "source", mixing_key(F.col("doc_id"), F.col("text")).alias("key")), repeated)
     times = copies(F.col("whole"), F.col("key"), F.col("bound"))
-    return (keyed.join(small(plan, MOST_SOURCES), F.col("of").eqNullSafe(F.col("source")))
+    return (keyed.join(small(plan, MOST_SOURCES), F.col("source").eqNullSafe(F.col("of")))
             .withColumn("times", times).where("times > 0")
             .select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*"))

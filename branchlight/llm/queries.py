@@ -76,10 +76,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("op4_mixing", """
-WITH d AS (
+WITH k0 AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, 12))::BIGINT AS key
   FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, key) AS nth FROM k0),
+d AS (
+  SELECT doc_id, source, size, CASE WHEN nth = 1 THEN key ELSE ('0x' || substr(md5(key || ' ' || nth), 1, 12))::BIGINT END AS key
+  FROM n),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS w FROM s),
 r AS (
