@@ -99,15 +99,27 @@ class Projection:
         self.columns = vectors.T / np.array([float(v) ** 0.5 / n for v in values])[None, :]
 
     def offsets(self, y: np.ndarray) -> np.ndarray:
-        """n * x - S, in longs if they and the sums of their squares fit these."""
+        """n * x - S, as longs if they fit."""
         most = max(self.n * max(abs(int(y.max())), abs(int(y.min()))), *map(abs, self.sums)) * 2 if len(y) else 0
-        kind = np.int64 if y.shape[1] * most * most < 1 << 63 else object
+        kind = np.int64 if most < 1 << 62 else object
         return y.astype(kind) * self.n - np.array(self.sums, kind)
 
     def whitened(self, offsets: np.ndarray) -> np.ndarray:
         return (offsets / self.n).astype(np.float64) @ self.columns
 
 
+def squared_sums(rows: np.ndarray) -> np.ndarray:
+    """The sum of squares of each row of whole numbers: longs if all fit, else Python integers, put together from limbs of 21 bits."""
+    if rows.dtype == object:
+        return (rows * rows).sum(1)
+    most = max(abs(int(rows.max())), abs(int(rows.min()))) if rows.size else 0
+    if rows.shape[1] * most * most < 1 << 63:
+        return (rows * rows).sum(1)
+    a, b, c = rows >> 42, (rows >> 21) & 0x1FFFFF, rows & 0x1FFFFF
+    terms = [(a * a, 84), (2 * a * b, 63), (2 * a * c + b * b, 42), (2 * b * c, 21), (c * c, 0)]
+    return sum(t.sum(1).astype(object) << shift for t, shift in terms)
+
+
 def _identity_error(rows: DataFrame, held, d: int, n: int) -> float:
     """The largest absolute entry of the whitened rows' covariance, divisor n, minus the identity."""
     k = held.value.columns.shape[1]
@@ -160,7 +172,7 @@ def whitened_components(vectors: DataFrame, most: int = 32) -> DataFrame:
         for batch in batches:
             p = held.value
             offsets = p.offsets(_matrix(batch, d))
-            squares = (offsets * offsets).sum(1)
+            squares = squared_sums(offsets)
             deviation = (pa.array(squares).cast(pa.decimal128(38, 0)) if squares.dtype == np.int64
                          else pa.array([Decimal(int(s)) for s in squares], pa.decimal128(38, 0)))
             z = p.whitened(offsets)

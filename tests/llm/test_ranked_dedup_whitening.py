@@ -234,3 +234,14 @@ def test_products_of_large_entries():
     for size in (3, 1 << 20, 1 << 40, 1 << 59):
         y = rng.integers(-size, size, (9, 4))
         assert (whitening.products(y) == y.astype(object).T @ y.astype(object)).all()
+
+
+def test_squared_sums_of_large_offsets():
+    rng = np.random.default_rng(6)
+    for size in (5, 1 << 31, 1 << 45, 1 << 61):
+        rows = rng.integers(-size, size, (20, 64))
+        assert whitening.squared_sums(rows).tolist() == [sum(int(x) ** 2 for x in r) for r in rows.tolist()]
+        assert whitening.squared_sums(rows.astype(object)).tolist() == whitening.squared_sums(rows).tolist()
+    held = whitening.Projection(10 ** 10, [7] * 64, [1], np.ones((1, 64)))
+    offsets = held.offsets(rng.integers(-40, 40, (5, 64)))
+    assert offsets.dtype == np.int64 and held.whitened(offsets).shape == (5, 1)
