@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions_for, shared_path
+from .shared import partitions_for, shared_path, small
 from .tokens import encoded
 
 MAGIC = b"TOKBLK01"
+#: Shards up to so many are broadcast with their first places; more are joined by a shuffle.
+MOST_SHARDS = 1_000_000
 _HEAD = struct.Struct("<8s32sI")
 _BLOCK = ("shard int, block int, first_doc_id long, last_doc_id long, n_docs int, n_tokens long, start_in_shard long, "
           "payload binary")
@@ -180,7 +182,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
         asked = F.array(*[F.lit(i).cast("long") for i in wanted]) if wanted else F.array().cast("array<long>")
         within = F.exists(asked, lambda i: (i >= F.coalesce("first_doc_id", i)) & (i <= F.col("last_doc_id")))
         blocks = blocks.where(F.col("last_doc_id") >= wanted[0]).where(within) if wanted else blocks.where("false")
-    rows = blocks.join(F.broadcast(bases), "shard").select(
+    rows = blocks.join(small(bases, MOST_SHARDS), "shard").select(
         (F.col("base") + F.col("start_in_shard")).alias("start"), "payload")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
