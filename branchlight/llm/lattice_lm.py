@@ -10,8 +10,8 @@ ranks) and are fitted to the corpus by expectation maximisation over the distinc
 lattice also has an edge for the whole word: its discounted count, (c - d) / N, and what the discounts free, d for each
 distinct token, weights the segmentations into pieces. All token probabilities add up to one.
 
-Counts are aggregated per task before the shuffle. Words with at least a HEADth of all tokens (so at most HEAD words)
-are broadcast with their scores; all other words of a text are joined with the count table.
+Counts are aggregated per task before the shuffle. Words with at least a HEADth of all tokens (so at most HEAD words) and at most
+LONGEST bytes are broadcast with their scores; all other words of a text are joined with the count table.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .shared import partitions_for, words_of, written
 
 MARK = "▁"
-HEAD = 1_000_000
+#: Common words that are broadcast, at most, and their bytes.
+HEAD, LONGEST = 1_000_000, 64
 ALPHA, DISCOUNT = 0.1, 0.5
 #: Words with fewer letters: their probability is above 1e-300, as no piece's is below 1e-14.
 SHORT = 20
@@ -396,7 +397,8 @@ def score_documents(docs: DataFrame, vocabulary_file: str, learns: Column, whole
     kind = "word binary, c long, base double, logp double"
     weighed = written(words.repartition(partitions_for(words, 50_000)).mapInArrow(weigh, kind), "weighed-words")
     often = max(1, math.ceil(n / HEAD))
-    common = {bytes(r.word): (r.base, r.logp) for r in weighed.where(F.col("c") >= often).collect()} if n > HEAD else {}
+    head = weighed.where((F.col("c") >= often) & (F.octet_length("word") <= LONGEST))
+    common = {bytes(r.word): (r.base, r.logp) for r in head.collect()} if n > HEAD else {}
     shared = spark.sparkContext.broadcast(common)
     end_base = base(ends)
     end_logp = math.log10((max(ends - DISCOUNT, 0.0) / n if n and whole_words else 0.0) + rest * max(end, 1e-12) / begins)
