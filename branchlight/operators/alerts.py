@@ -28,7 +28,7 @@ def inventory_alerts(inventory: DataFrame, sales: DataFrame, branch: str | None
                      as_of: str | None = None, status: str | None = None) -> DataFrame:
     """The most urgent alerts of active items: by priority, then stock. ``limit=None`` keeps all.
 
-    The band test runs before the activity join, so only rows in a band take part in it."""
+    Sales enter as one row per product; stock rows are shuffled once, by product."""
     inventory, sales = filter_branch(inventory, branch), filter_branch(sales, branch)
     rows = filter_severity(alert_rows(drop_inactive_inventory(sales, inventory), as_of), status)
     rows = rows.orderBy("priority", "current_stock", "product_code", "branch_code")
