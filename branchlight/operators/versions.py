@@ -69,11 +69,23 @@ def drop_branch(df: DataFrame, owner: str, branch: str | None = None, owner_colu
 
 def delete_branch(spark: SparkSession, path: str, owner: str, branch: str | None = None, owner_column: str = "username",
                   branch_column: str = "branch_name") -> None:
-    """Delete one branch (or everything) of an owner from a stored table (``sources.tables``) that is partitioned by both columns.
+    """Delete one branch (or everything) of an owner from a stored table (``sources.tables``).
 
-    The branch's folders leave the table in one commit and then the disk; no row is read, and no other folder touched."""
+    Of a table partitioned by both columns the branch's folders leave it in one commit and then the disk; no row is read, and no
+    other folder touched. Of a table in buckets by owner only the owner's bucket is read, and written anew without the rows."""
     from ..sources import tables
 
+    old = tables.version(spark, path)
+    if old.keys is not None:
+        if old.keys != [owner_column]:
+            raise ValueError(f"the buckets of {path} are by {old.keys}, not by {owner_column}")
+        own = tables.bucket_of(spark, old, [owner])
+        gone = F.col(owner_column) == owner
+        if branch is not None:
+            gone &= F.col(branch_column) == branch
+        tables.delete_rows(spark, path, gone, lambda values: None if values["_bucket"] == own else False)
+        tables.vacuum(spark, path)
+        return
     tables.drop_parts(spark, path, lambda values: values[owner_column] == owner
                       and (branch is None or values[branch_column] == branch))
     tables.vacuum(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
@@ -520,9 +522,11 @@ def _(spark, d):
 @register("branch_deleted_table", _DELETED)
 def _(spark, d):
     path = shared_folder(spark, "uploads")
-    tables.create(fx.uploads(spark, d).drop("module"), path, ["username", "branch_name"])
+    uploads = fx.uploads(spark, d).drop("module")
+    # Owners are many: buckets by their number of rows, not a folder for each owner and branch.
+    tables.create(uploads, path, ["username"], buckets=max(16, math.ceil(uploads.count() / 500_000)))
     versions.delete_branch(spark, path, "17", "view")
-    return tables.read(spark, path, tables.version(spark, path))
+    return tables.read(spark, path, tables.version(spark, path)).drop("_bucket")
 
 
 @register("stream_upsert_latest", """

@@ -28,7 +28,8 @@ class ConcurrentChange(RuntimeError):
 @dataclass(frozen=True)
 class Version:
     """One version: partition columns, and each partition's values and folders. ``notes`` has the last batch of each stream
-    that writes to the table, ``buckets`` the number of a keyed table's partitions."""
+    that writes to the table, ``buckets`` the number of a keyed table's partitions, ``keys`` the columns whose hash picks them if
+    the table was made by ``create``."""
 
     number: int
     schema: str
@@ -37,6 +38,7 @@ class Version:
     notes: dict[str, int] = field(default_factory=dict)
     writer: list | None = None
     buckets: int | None = None
+    keys: list[str] | None = None
 
 
 def _fs(spark: SparkSession, path: str):
@@ -112,16 +114,22 @@ def number_taken(spark: SparkSession, path: str, number: int) -> bool:
     return fs.exists(jvm.Path(root, f"manifest/{number:010d}.json"))
 
 
-def create(rows: DataFrame, path: str, by: Sequence[str]) -> Version:
-    """Write ``rows`` as the first version of a new table, partitioned by the columns ``by``."""
+def create(rows: DataFrame, path: str, by: Sequence[str], buckets: int | None = None) -> Version:
+    """Write ``rows`` as the first version of a new table, partitioned by the columns ``by``.
+
+    Columns of many values would make as many folders: with ``buckets``, rows are put into that many partitions by a hash of ``by``."""
     spark = rows.sparkSession
+    if buckets:
+        rows = _bucketed(rows, by, buckets)
+        parts = write_parts(rows, path, ["_bucket"])
+        return commit(spark, path, Version(0, rows.schema.json(), ["_bucket"], parts, buckets=buckets, keys=list(by)))
     parts = write_parts(rows, path, by)
     return commit(spark, path, Version(0, rows.schema.json(), list(by), parts))
 
 
 def _next(old: Version, gone: Sequence[str], new: dict[str, dict], **notes) -> Version:
     parts = {p: v for p, v in old.parts.items() if p not in set(gone)} | new
-    return Version(old.number + 1, old.schema, old.by, parts, buckets=old.buckets, **({"notes": old.notes} | notes))
+    return Version(old.number + 1, old.schema, old.by, parts, buckets=old.buckets, keys=old.keys, **({"notes": old.notes} | notes))
 
 
 def drop_parts(spark: SparkSession, path: str, gone: Callable[[dict], bool]) -> Version:
@@ -184,6 +192,13 @@ def _bucketed(rows: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
     return rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
 
 
+def bucket_of(spark: SparkSession, at: Version, values: Sequence) -> int:
+    """The bucket that holds the rows with these values of the table's keys."""
+    schema = T.StructType.fromJson(json.loads(at.schema))
+    row = spark.range(1).select(*[F.lit(v).cast(schema[k].dataType).alias(k) for k, v in zip(at.keys, values)])
+    return _bucketed(row, at.keys, at.buckets).first()["_bucket"]
+
+
 def upsert(changes: DataFrame, path: str, keys: Sequence[str], newest_by: str, buckets: int = 64,
            stream: str | None = None, batch: int = -1, first: Callable[[], tuple[int, DataFrame | None]] = lambda: (-1, None)
            ) -> Version:

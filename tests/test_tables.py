@@ -47,6 +47,28 @@ def test_deleting_a_branch_touches_only_its_folders(spark):
     assert content(spark, path) == sorted((r for r in ROWS if r[0] != "u"), key=str)
 
 
+def test_deleting_a_branch_of_a_table_in_buckets_rewrites_the_owners(spark):
+    """Many owners make a bounded number of folders, and a deletion writes only one of them anew."""
+    path = shared_folder(spark, "table")
+    rows = ROWS + [(f"o{i}", b, i) for i in range(200) for b in "NS"]
+    tables.create(spark.createDataFrame(rows, SHAPE), path, ["username"], buckets=8)
+    assert len(tables.version(spark, path).parts) == 8
+
+    def plain():
+        return sorted((r[:3] for r in content(spark, path)), key=str)
+
+    before = stamps(spark, path)
+    versions.delete_branch(spark, path, "u", "N")
+    after = stamps(spark, path)
+    assert plain() == sorted((r for r in rows if r[:2] != ("u", "N")), key=str)
+    assert len({f.split("/")[1] for f in before.keys() - after.keys()}) == 1 and all(before.get(f, t) == t for f, t in after.items())
+    versions.delete_branch(spark, path, "u")
+    versions.delete_branch(spark, path, "nobody")
+    assert plain() == sorted((r for r in rows if r[0] != "u"), key=str)
+    with pytest.raises(ValueError):
+        versions.delete_branch(spark, path, "u", owner_column="branch_name")
+
+
 def test_an_interrupted_change_leaves_the_table(spark, monkeypatch):
     path = table(spark)
     before = tables.files(spark, path)
