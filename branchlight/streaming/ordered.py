@@ -4,9 +4,10 @@ What these rules decide about a row depends on all rows before it in event time,
 watermark has passed it; then it is decided in order. Rows that come after the watermark are discarded by the operator.
 The result is that of the batch rule, whatever the triggers were and in whichever order rows came within the watermark's delay.
 
-Waiting times lie in slots of event time. A slot has one timer, set to its end: when it fires no further row of the slot
-can be accepted, and all slots before it have been decided, because timers fire in time order. A busy key therefore
-never holds more than one slot's times in memory; the rest stays in the state store (RocksDB, which these rules need).
+Waiting times of repeat suppression lie in slots of event time. A slot has one timer, set to its end: when it fires no further row
+of the slot can be accepted, and all slots before it have been decided, because timers fire in time order. Request counts lie in
+pages of so many times instead, as most users have few, and one timer decides all slots that the watermark has passed. A busy key
+never holds more than one slot's or page's times in memory; the rest stays in the state store (RocksDB, which these rules need).
 """
 
 from __future__ import annotations
@@ -101,43 +102,146 @@ def stream_suppress_repeats(alerts: DataFrame, quiet_seconds: int = 300, ts: str
     return out.select("alert_type", F.timestamp_micros("us").alias("emitted_at"))
 
 
+#: Times of a page of ``PagedTimes``, about.
+PAGE = 10_000
+
+
+class PagedTimes:
+    """A key's times (microseconds) in order, in pages of map state under a directory (each page's name, first time and size).
+
+    A key of few times is one page, read and written at once; of a busy key one page at a time is in memory. Equal times
+    share a page. ``decided`` times lie below it; ``due`` is the timer that is set for the first of the others."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.pages = handle.getMapState("pages", "page long", "times array<long>")
+        self.kept = handle.getValueState("directory", "names array<long>, lows array<long>, sizes array<long>, decided long, due long")
+
+    def load(self) -> None:
+        if self.kept.exists():
+            names, lows, sizes, self.decided, self.due = self.kept.get()
+            self.names, self.lows, self.sizes = list(names), list(lows), list(sizes)
+        else:
+            self.names, self.lows, self.sizes, self.decided, self.due = [], [], [], -(1 << 62), -1
+
+    def save(self) -> None:
+        if self.names:
+            self.kept.update((self.names, self.lows, self.sizes, self.decided, self.due))
+        elif self.kept.exists():
+            self.kept.clear()
+
+    def page(self, at: int) -> np.ndarray:
+        return np.array(self.pages.getValue((self.names[at],))[0], np.int64)
+
+    def add(self, times: np.ndarray) -> None:
+        """Sorted times enter the pages in whose range they lie; a page grown to twice PAGE is cut."""
+        if not self.names:
+            self._put(0, 0, times)
+            return
+        place = np.maximum(np.searchsorted(self.lows, times, "right") - 1, 0)
+        for at in np.unique(place)[::-1].tolist():  # from the last, so that the places before stay
+            self._put(at, at + 1, np.sort(np.concatenate([self.page(at), times[place == at]])))
+
+    def _put(self, start: int, stop: int, times: np.ndarray) -> None:
+        """The page at ``start`` (none if ``stop`` is the same) becomes the pages of ``times``."""
+        cuts = [0]
+        while len(times) - cuts[-1] > 2 * PAGE:
+            at = int(np.searchsorted(times, times[cuts[-1] + PAGE], "left"))
+            if at == cuts[-1]:
+                at = int(np.searchsorted(times, times[at], "right"))
+            if at == len(times):
+                break
+            cuts.append(at)
+        new = max(self.names, default=-1) + 1
+        names = [*self.names[start:stop], *range(new, new + len(cuts))][:len(cuts)]
+        parts = [times[a:b] for a, b in zip(cuts, [*cuts[1:], len(times)])]
+        for name, part in zip(names, parts):
+            self.pages.updateValue((name,), (part.tolist(),))
+        self.names[start:stop] = names
+        self.lows[start:stop] = [int(p[0]) for p in parts]
+        self.sizes[start:stop] = [len(p) for p in parts]
+
+    def drop_before(self, us: int) -> None:
+        """Forget the pages whose times all lie below ``us``."""
+        while self.names and (self.lows[1] <= us if len(self.names) > 1 else self.page(0)[-1] < us):
+            self.pages.removeKey((self.names[0],))
+            del self.names[0], self.lows[0], self.sizes[0]
+
+
 class _TrailingCounts(StatefulProcessor):
-    """Decided slots stay for the length of the window: their sizes are summed, and only the two at its ends are read."""
+    """Times stay for the length of the window after their decision; a timer decides all that the watermark has passed, and one
+    is set for the next slot's end."""
 
     def __init__(self, user: str, most: int, length_us: int, slot_ms: int):
         self.user, self.most, self.length_us, self.slot_ms = user, most, length_us, slot_ms
-        self.slots = length_us // (slot_ms * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = EventTimeBuffer(handle, self.slot_ms, distinct=False)
-        self.past = handle.getMapState("past", "slot long", "times array<long>")
-        self.sizes = handle.getMapState("sizes", "slot long", "n long")
+        self.handle, self.times = handle, PagedTimes(handle)
+
+    def _timer(self, us: int, first: bool = False) -> None:
+        """The timer at the end of the slot of ``us``; with ``first``, if it comes before the one that is set."""
+        due = (us // (self.slot_ms * 1000) + 1) * self.slot_ms
+        if not first or self.times.due < 0 or due < self.times.due:
+            self.handle.registerTimer(due)
+            self.times.due = due
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.times.load()
+        held, many = [], 0
         for frame in rows:
-            self.buffer.add(frame["event_us"])
+            held.append(frame["event_us"].dropna().to_numpy(np.int64))
+            many += len(held[-1])
+            if many >= 100 * PAGE:
+                self._add(held)
+                held, many = [], 0
+        if many:
+            self._add(held)
+        self.times.save()
         return iter(())
 
+    def _add(self, held: list[np.ndarray]) -> None:
+        us = np.sort(np.concatenate(held))
+        self.times.add(us)
+        self._timer(int(us[0]), first=True)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        slot = expiredTimerInfo.getExpiryTimeInMs() // self.slot_ms - 1
-        sizes = {k[0]: n[0] for k, n in self.sizes.iterator()}
-        for old in [s for s in sizes if s < slot - self.slots]:
-            self.past.removeKey((old,))
-            self.sizes.removeKey((old,))
-        times = np.array(self.buffer.take(expiredTimerInfo.getExpiryTimeInMs()), np.int64)
-        if not len(times):
-            return
-        first = slot - self.slots
-        before = np.array(self.past.getValue((first,))[0] if first in sizes else [], np.int64)
-        between = sum(n for s, n in sizes.items() if first < s < slot)
-        counts = (np.searchsorted(times, times, "right") + between
-                  + len(before) - np.searchsorted(before, times - self.length_us, "right"))
-        self.past.updateValue((slot,), (times.tolist(),))
-        self.sizes.updateValue((slot,), (len(times),))
-        self.buffer.handle.registerTimer((slot + self.slots + 2) * self.slot_ms)  # when the slot leaves every window
-        over = counts > self.most
-        if over.any():
-            yield pd.DataFrame({self.user: key[0], "us": times[over], "requests": counts[over]})
+        t = self.times
+        t.load()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        upto = now // self.slot_ms * self.slot_ms * 1000  # the slots that end until now
+        before = np.cumsum([0, *t.sizes])
+        held, end, rest = {}, None, None  # the pages at the spans' starts, the last decided and the first undecided time
+        for at in range(len(t.names)):
+            if at + 1 < len(t.names) and t.lows[at + 1] < t.decided:
+                continue
+            if t.lows[at] >= upto:
+                rest = t.lows[at]
+                break
+            page = t.page(at)
+            due = page[np.searchsorted(page, t.decided): np.searchsorted(page, upto)]
+            if len(due):
+                low = due - self.length_us
+                place = np.maximum(np.searchsorted(t.lows, low, "right") - 1, 0)
+                counts = before[at] + np.searchsorted(page, due, "right")
+                for p in np.unique(place).tolist():
+                    if p not in held:
+                        held = {p: page if p == at else t.page(p)}
+                    of = place == p
+                    counts[of] -= before[p] + np.searchsorted(held[p], low[of], "right")
+                end = int(due[-1])
+                over = counts > self.most
+                if over.any():
+                    yield pd.DataFrame({self.user: key[0], "us": due[over], "requests": counts[over]})
+            if len(page) and page[-1] >= upto:
+                rest = int(page[np.searchsorted(page, upto)])
+                break
+        t.decided = max(t.decided, upto)
+        t.drop_before(t.decided - self.length_us)
+        t.due = -1
+        if rest is not None:
+            self._timer(rest)
+        elif t.names:  # when the last time leaves every window
+            self._timer((end if end is not None else t.decided) + self.length_us)
+        t.save()
 
 
 def stream_rate_violations(requests: DataFrame, most: int = 10, seconds: int = 60, ts: str = "ts", user: str = "username",

@@ -6,6 +6,7 @@ import random
 import time
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from branchlight.operators import monitor
@@ -103,3 +104,110 @@ def test_edges(spark):
     rows = spark.createDataFrame([("start", at(0)), ("finish", at(1)), ("other", at(2))], "phase string, ts timestamp")
     assert [r.step for r in concurrency.operation_edges(rows).orderBy("at").collect()] == [1, -1, None]
     assert concurrency.operation_edges(rows).filter(F.col("step").isNull()).count() == 1
+
+
+class Handle:
+    """The state of one key in memory, and how often it is used."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def getMapState(self, *_):
+        return State(self)
+
+    getValueState = getMapState
+
+
+class State:
+    def __init__(self, handle):
+        self.handle, self.kept = handle, {}
+
+    def _use(self, value=None):
+        self.handle.calls += 1
+        return value
+
+    def exists(self):
+        return self._use("value" in self.kept)
+
+    def get(self):
+        return self._use(self.kept["value"])
+
+    def update(self, value):
+        self._use(self.kept.update(value=value))
+
+    def clear(self):
+        self._use(self.kept.pop("value", None))
+
+    def containsKey(self, key):
+        return self._use(key in self.kept)
+
+    def getValue(self, key):
+        return self._use(self.kept[key])
+
+    def updateValue(self, key, value):
+        self._use(self.kept.update({key: value}))
+
+    def removeKey(self, key):
+        self._use(self.kept.pop(key, None))
+
+    def keys(self):
+        return self._use(iter([*self.kept]))
+
+    def iterator(self):
+        return self._use(iter([*self.kept.items()]))
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs
+
+
+def replay(rule, steps):
+    """Rows a key's rule gives; a step is (frames of microseconds, watermark in ms after them)."""
+    handle, out = Handle(), []
+    rule.init(handle)
+    for frames, mark in steps:
+        if frames:
+            list(rule.handleInputRows(("k",), iter([pd.DataFrame({"event_us": pd.Series(f, dtype="Int64")}) for f in frames]), Clock(mark)))
+        for ms in sorted(x for x in handle.timers if x <= mark):
+            handle.timers.discard(ms)
+
+            class Both(Clock):
+                def getCurrentWatermarkInMs(self):
+                    return mark
+
+            for frame in rule.handleExpiredTimer(("k",), Both(ms), Clock(ms)):
+                out += frame.to_dict("records")
+    return out, handle
+
+
+def test_counts_of_a_key_in_pages(monkeypatch):
+    """Pages of four times, equal times over several pages' length, triggers within the watermark's delay; no state stays."""
+    monkeypatch.setattr(ordered, "PAGE", 4)
+    rnd = random.Random(8)
+    for seed in range(20):
+        parts = [[rnd.choice([rnd.randrange(a * 10 ** 7, a * 10 ** 7 + 25 * 10 ** 6), a * 10 ** 7 + 5_000_000]) for _ in range(rnd.randint(0, 40))]
+                 for a in range(1, 8)]
+        steps = [([p[: len(p) // 2], [*p[len(p) // 2:], None]], a * 10 ** 4 + 10 ** 4 - 1) for a, p in enumerate(parts, 1)] + [([], 10 ** 8)]
+        got, handle = replay(ordered._TrailingCounts("u", 3, 6_000_000, 2_000), steps)
+        times = [t for p in parts for t in p]
+        want = [(t, n) for t in times if (n := sum(t - 6_000_000 < x <= t for x in times)) > 3]
+        assert Counter((r["us"], r["requests"]) for r in got) == Counter(want)
+        assert not handle.timers
+
+
+def test_a_quiet_user_costs_few_state_calls():
+    """Seventy requests, hours apart, in one trigger and then decided."""
+    hours = [h * 3_600_000_000 * 10 for h in range(1, 71)]
+    for rule, many in ((ordered._TrailingCounts("u", 2, 3_600_000_000, 60_000), 0),):
+        got, handle = replay(rule, [([hours], 0), ([], 10 ** 10)])
+        assert len(got) == many and handle.calls < 20
