@@ -264,36 +264,52 @@ def stream_rate_violations(requests: DataFrame, most: int = 10, seconds: int = 6
 
 
 class _Expire(StatefulProcessor):
-    """Versions of a key that no known newer one renews in time; any two of them are further apart than the lifetime."""
+    """A key's versions as runs (first, last) in which each renews the one before; runs are further apart than the lifetime, so
+    there are few however many the versions. One timer is set, for the run that ends first."""
 
     def __init__(self, keys: Sequence[str], ttl_us: int):
         self.keys, self.ttl_us = list(keys), ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.versions = handle.getMapState("versions", "us long", "expires long")
+        self.runs = handle.getValueState("runs", "firsts array<long>, lasts array<long>")
+
+    def _load(self) -> tuple[np.ndarray, np.ndarray]:
+        firsts, lasts = self.runs.get() if self.runs.exists() else ([], [])
+        return np.array(firsts, np.int64), np.array(lasts, np.int64)
+
+    def _due(self, last: int) -> int:
+        return (int(last) + self.ttl_us) // 1000 + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0] for k in self.versions.keys()}
+        firsts, lasts = self._load()
+        set_for = self._due(lasts[0]) if len(lasts) else None
         for frame in rows:
-            for us in np.unique(frame["event_us"].dropna().to_numpy(np.int64)).tolist():
-                if any(us <= v <= us + self.ttl_us for v in held):
-                    continue
-                for v in [v for v in held if v < us <= v + self.ttl_us]:
-                    self.versions.removeKey((v,))
-                    held.remove(v)
-                held.add(us)
-                self.versions.updateValue((us,), (us + self.ttl_us,))
-                self.handle.registerTimer((us + self.ttl_us) // 1000 + 1)
+            us = np.unique(frame["event_us"].dropna().to_numpy(np.int64))
+            firsts, lasts = np.concatenate([firsts, us]), np.concatenate([lasts, us])
+            order = np.argsort(firsts, kind="stable")
+            firsts, lasts = firsts[order], np.maximum.accumulate(lasts[order])
+            begins = np.flatnonzero(np.append(True, firsts[1:] > lasts[:-1] + self.ttl_us))[:len(firsts)]
+            firsts, lasts = firsts[begins], lasts[np.append(begins[1:] - 1, len(lasts) - 1)[:len(begins)]]
+        if len(lasts):
+            self.runs.update((firsts.tolist(), lasts.tolist()))
+            if set_for != self._due(lasts[0]):
+                self.handle.registerTimer(self._due(lasts[0]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        over = sorted(k[0] for k in self.versions.keys() if k[0] + self.ttl_us < now)
-        for us in over:
-            self.versions.removeKey((us,))
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        firsts, lasts = self._load()
+        over = int(np.searchsorted(lasts, now * 1000 - self.ttl_us))  # their ends lie before now
+        if over == len(lasts):
+            self.runs.clear()
+        else:
+            if over:
+                self.runs.update((firsts[over:].tolist(), lasts[over:].tolist()))
+            # Also when none is over: the run this timer was set for may have grown.
+            self.handle.registerTimer(self._due(lasts[over]))
         if over:
-            yield pd.DataFrame({**dict(zip(self.keys, key)), "us": over})
+            yield pd.DataFrame({**dict(zip(self.keys, key)), "us": lasts[:over]})
 
 
 def stream_expirations(records: DataFrame, keys: Sequence[str], ttl_seconds: int, ts: str = "ts",
@@ -302,7 +318,7 @@ def stream_expirations(records: DataFrame, keys: Sequence[str], ttl_seconds: int
 
     A key expires by event time: when the watermark passes the end of its lifetime, also if no further row of it ever
     comes. A record at the very end of a lifetime still renews the key. Rows older than the watermark are discarded; null times
-    are left out. State holds only records that nothing known renews, and goes with the expiry."""
+    are left out. State holds the spans of records that renew each other, and goes with the expiry."""
     use_rocksdb(records.sparkSession)
     rows = (records.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(ts).cast("timestamp").alias("event_at")).withWatermark("event_at", watermark)
             .withColumn("event_us", F.unix_micros("event_at")))

@@ -208,6 +208,18 @@ def test_counts_of_a_key_in_pages(monkeypatch):
 def test_a_quiet_user_costs_few_state_calls():
     """Seventy requests, hours apart, in one trigger and then decided."""
     hours = [h * 3_600_000_000 * 10 for h in range(1, 71)]
-    for rule, many in ((ordered._TrailingCounts("u", 2, 3_600_000_000, 60_000), 0),):
+    for rule, many in ((ordered._TrailingCounts("u", 2, 3_600_000_000, 60_000), 0), (ordered._Expire(["u"], 21_600_000_000), 70)):
         got, handle = replay(rule, [([hours], 0), ([], 10 ** 10)])
         assert len(got) == many and handle.calls < 20
+
+
+def test_runs_of_a_key_in_any_order():
+    """A version renews the one before whichever is read first, also one that was itself renewed already."""
+    rnd = random.Random(4)
+    for _ in range(50):
+        times = [rnd.randrange(0, 400) * 1_000 for _ in range(30)]
+        cuts = sorted(rnd.sample(range(31), 3))
+        frames = [times[a:b] for a, b in zip([0, *cuts], [*cuts, 30])]
+        got, handle = replay(ordered._Expire(["u"], 10_000), [([f], 0) for f in frames if f] + [([], 10 ** 6)])
+        assert [r["us"] for r in got] == [t for t in sorted(set(times)) if not any(t < x <= t + 10_000 for x in times)]
+        assert not handle.timers
