@@ -127,6 +127,27 @@ def test_model_beats_the_global_mean_and_predictions_are_usable(spark):
     assert summary.count() == 3
 
 
+def test_trees_on_cells_are_those_on_rows(spark, tmp_path):
+    """Amounts of few values have one bin each, so cells and rows give the same trees; a cell holds many rows."""
+    rng = np.random.default_rng(1)  # noise, so that no two splits are equally good
+    rows = [(f"p{p}", "A", D(2024, 1, 1) + dt.timedelta(days=i), float(rng.normal() + 3 * (i % 7 > 4) + 2 * (p % 3) - p % 2 + i / 20), 1.0 + p % 3, float(p % 2))
+            for p in range(60) for i in range(60)]
+    daily = spark.createDataFrame(rows, "product_code string, branch_code string, sale_date date, quantity_sold double, price double, discount double")
+    features = fc.daily_features(daily, None, cal.hijri_seasons(spark, D(2024, 1, 1), D(2024, 3, 1)))
+    plain = dm.train_demand_model(features, trees=4, depth=3)
+    cells = dm.train_demand_model(features, trees=4, depth=3, most_rows=0)
+    assert cells.metrics["train_rows"] == plain.metrics["train_rows"] > 10 * 60
+    for k, v in plain.metrics.items():
+        assert cells.metrics[k] == pytest.approx(v, rel=1e-6)
+    assert dict(cells.importances) == pytest.approx(dict(plain.importances), rel=1e-6, abs=1e-9)
+    assert cells.pipeline.stages[-1].getFeaturesCol() == "bins"
+    dm.save_model(spark, cells, str(tmp_path / "m"))
+    again = dm.load_model(spark, str(tmp_path / "m"))
+    assert dm.model_metrics(again, features).first().asDict() == pytest.approx(plain.metrics, rel=1e-6)
+    used = {r.feature: r.used_rows for r in dm.importance_use(again, features).collect()}
+    assert used["price"] == 3600 and used["discount"] == 1800
+
+
 def test_a_saved_model_is_loaded_not_trained(spark, tmp_path, monkeypatch):
     rows = [(f"p{i % 3}", "N", D(2024, 1, 1) + dt.timedelta(days=i // 3), float(i % 7 + (i // 3) % 7), 2.0) for i in range(240)]
     u = spark.createDataFrame(rows, "product_code string, branch_code string, sale_date date, quantity_sold double, price double") \
