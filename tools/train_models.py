@@ -2,7 +2,7 @@
 
     python tools/train_models.py FOLDER...
 
-``spark.checkpoint.dir`` names the folder that keeps models; a model is found again as long as the sales rows are the same.
+``spark.checkpoint.dir`` names the folder that keeps models; a model is found again as long as the day rows are the same.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from branchlight.session import build_session  # noqa: E402
 def main() -> None:
     spark = build_session(app="branchlight-train")
     for folder in sys.argv[1:]:
-        model = q_forecast.train_model(spark, folder)
-        print(folder, q_forecast.model_path(spark, folder), model.metrics)
+        model, path = q_forecast.train_model(spark, folder)
+        print(folder, path, model.metrics)
 
 
 if __name__ == "__main__":
