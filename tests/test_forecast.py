@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -411,7 +412,8 @@ def test_a_model_is_found_by_the_stored_day_rows(spark, monkeypatch):
     monkeypatch.setattr(q_forecast, "_MODELS", {})
     trained = []
     monkeypatch.setattr(dm, "train_demand_model", lambda features, train=dm.train_demand_model: trained.append(1) or train(features, trees=2, depth=2))
-    features = noisy_features(spark)
+    # Models outlive a session where it names their folder: rows that no run before had.
+    features = noisy_features(spark).withColumn("branch_code", F.lit(uuid.uuid4().hex))
     rows = features.select(*fc.PAIR, "sale_date", "quantity_sold", "price", "discount")
     model = q_forecast.fitted_model(spark, "d", rows, features)
     q_forecast._MODELS.clear()
